@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from quillon.plans.ship import ship_package
+
 
 def build_session(master: str | None = None, app: str = "quillon", **extra: str) -> SparkSession:
     """A session with UTC timestamps, AQE and Arrow; `extra` wins over the defaults (dots as `__`).
@@ -22,4 +24,6 @@ def build_session(master: str | None = None, app: str = "quillon", **extra: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=conf).getOrCreate()
+    spark = builder.config(map=conf).getOrCreate()
+    ship_package(spark)
+    return spark
