@@ -26,3 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and go on from those files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over as many partitions as the session shuffles into, and at least twice its cores.
+
+    For steps that compute much per byte: by their size alone, adaptive execution would put them into few tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -1,29 +1,11 @@
-"""The core's registered queries: name to (query, SQL or None)."""
+"""Queries on references to records that do not exist."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators.references import orphan_counts, orphan_references
-
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Query, str | None]] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        if name in REGISTRY:
-            raise ValueError(f"{name} is registered twice")
-        REGISTRY[name] = f, sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from quillon.queries.registry import register, table
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
