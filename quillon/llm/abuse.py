@@ -52,7 +52,8 @@ DIGITS = str.maketrans("013457!@$€", "oieastiase")
 _ZERO_WIDTH = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _APART = re.compile(r"(?<![\w'])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _LEET = re.compile(r"(?<![\w@$])(?=[\w@$!€]*[a-z])(?=[\w@$!€]*[0-9@$!€])[a-z0-9@$!€]{3,24}(?![\w@$])")
-_DRAWN = re.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*(?:[^\W\d_])*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
 _MASKED = re.compile(r"(?<![\w*])[^\W\d_]+(?:[*#]+[^\W\d_]+)+(?![\w*])|(?<![\w*])[^\W\d_]+\*{3,}(?![\w*])")
 _SENTENCE = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
@@ -128,6 +129,8 @@ def _join(m: re.Match) -> str:
 
 
 def _undraw(m: re.Match) -> str:
+    if not _DRAWN.search(m[0]):
+        return m[0]
     bare = _strip_marks(m[0])
     known = _squeezed().get(re.sub(r"(.)\1+", r"\1", bare))
     return known if known else re.sub(r"(.)\1\1+", r"\1", m[0])
@@ -153,7 +156,7 @@ def fold(text: str) -> str:
     low = _LEET.sub(_unleet, low)
     if "*" in low or "#" in low:
         low = _MASKED.sub(_unmask, low)
-    return _DRAWN.sub(_undraw, low)
+    return _LETTERS.sub(_undraw, low) if _DRAWN.search(low) else low
 
 
 def score_text(text: str | None) -> tuple[float, str | None]:

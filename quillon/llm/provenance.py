@@ -58,7 +58,7 @@ CODE_NAME = re.compile(r"(?i)\.(?:js|ts|jsx|tsx|mjs|cjs|py|go|rs|java|c|h|cc|cpp
 _SPLIT_MARK = re.compile(r"\A(?:\[split from \d+ sub-chunks\] |\[…\]\s*\n|\[\.\.\.\]\s*\n)")
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|include|define|if|endif|pragma)|/\*|\*|--|;;|<!--|\"\"\"|''')")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\S")
-_COMMENT = re.compile(r"(?m)//[^\n]*|^\s*#[^\n]*|/\*.*?\*/", re.S)
+_COMMENT = re.compile(r"(?m)//[^\n]*|^\s*#[^\n]*|/\*.{0,20000}?\*/", re.S)
 _LITERAL_BODY = re.compile(r"""(?:0x[0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\s,:\[\]{}()&])+""")
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 

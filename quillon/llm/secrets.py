@@ -57,8 +57,9 @@ PLACEHOLDER = re.compile(
 )
 
 _NAME = r"(?P<name>[A-Za-z_][\w.\-]*)"
+# a name is tried at its beginning only, and what may stand between is bounded, so that no line takes quadratic time
 _QUOTED = re.compile(
-    _NAME + r"""["'`\]\)]*(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z]\w*|\s+string)?\s*(?:\|\|=|\?\?=|:=|=>|=|:)\s*(?:r\#*|b|f)?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.)+)(?P=q)(?P<more>(?:\s*[+.]\s*["'`][^"'`\n]+["'`])*)"""
+    r"(?<![\w.\-])" + _NAME + r"""["'`\]\)]*(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z]\w*|\s+string)?\s*(?:\|\|=|\?\?=|:=|=>|=|:)\s*(?:r\#*|b|f)?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.)+)(?P=q)(?P<more>(?:\s*[+.]\s*["'`][^"'`\n]+["'`])*)"""
 )
 _BARE = re.compile(r"^[ \t>*+-]*(?:(?:export|set|\#|//|--|;)[ \t]*)*" + _NAME + r"[ \t]*[:=][ \t]*(?P<v>[^\s\"'`].*?)[ \t\r]*$")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<v>[^\s/\"'`<>]+)@(?=[\w\[])")
@@ -67,12 +68,12 @@ _PARAM = re.compile(r"(?i)[?&](?:api_?key|access_?key|access_?token|auth_?token|
 _HEADER = re.compile(r"(?i)(?:\b(?:proxy-)?authorization|\b(?:x-)?api-key|\bx-auth-token|\bprivate-token|\bx-[a-z]+-token)[\"'`]?\s*[:=]\s*[\"'`]?(?:(?:bearer|token|basic|apikey)\s+)?(?P<v>[A-Za-z0-9_+/=.~\-]{12,})")
 _ENCODED = re.compile(r"\b[Bb]asic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 _BEARER = re.compile(r"\b[Bb]earer\s+(?P<v>[A-Za-z0-9_+/.~=\-]{16,})")
-_SHELL = re.compile(r"(?:\bsshpass\s+-p\s*|\blogin\s+(?:.*\s)?-p\s+|\bmysql\b.*\s-p|\s--?(?:password|passwd|passphrase|token|api-key|secret)[ =])[\"'`]?(?P<v>[^\s\"'`]+)")
+_SHELL = re.compile(r"(?:\bsshpass\s+-p\s*|\blogin\s+(?:.{0,200}\s)?-p\s+|\bmysql\b.{0,200}\s-p|\s--?(?:password|passwd|passphrase|token|api-key|secret)[ =])[\"'`]?(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(r"\s--?(?P<name>[A-Za-z][\w.\-]*)[ =](?:(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)|(?P<w>[^\s\"']+))")
 _SAID = re.compile(r"(?i)(?<![\w-])(?:pw|pwd|pass|password|passwd|passphrase|passwort|kennwort|contraseña|mot de passe|api key|token|secret)\s*(?:\bis\b|\bwas\b|\bist\b|\bes\b|\best\b)\s*:?\s*[`\"']?(?P<v>[^\s`\"']{6,})")
 _MANIFEST = re.compile(r"(?m)^(?P<pad>[ \t]*)kind:[ \t]*[\"']?Secret[\"']?[ \t]*\r?$")
 _ENTRY = re.compile(r"(?m)^[ \t]+[\w.\-]+:[ \t]*[\"']?(?P<v>[A-Za-z0-9+/]{8,}={0,2})[\"']?[ \t]*\r?$")
-_CURL = re.compile(r"\bcurl\b.*\s(?:-u|--user)\s+[\"'`]?[^\s:\"'`]+:(?P<v>[^\s\"'`]+)")
+_CURL = re.compile(r"\bcurl\b.{0,400}\s(?:-u|--user)\s+[\"'`]?[^\s:\"'`]+:(?P<v>[^\s\"'`]+)")
 _NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>\S+)")
 _NPMRC = re.compile(r":_(?:authToken|password|auth)\s*=\s*[\"']?(?P<v>[^\s\"']+)")
 _SET = re.compile(r"\b[Ss]et\s+[`\"']?" + _NAME + r"[`\"']?\s+to\s+[`\"']?(?P<v>\S.*?)[`\"']?\s+and\s+(?:retry|restart|try|reload|rerun|run)\b")
