@@ -118,14 +118,19 @@ def _unleet(m: re.Match) -> str:
 
 
 def _join(m: re.Match) -> str:
-    """Letters set apart, as one word, or as two if those are known."""
+    """Letters set apart, as one word, or as several if all of them are known (or the article "a")."""
     word = re.sub(r"[^\w]|_", "", m[0])
     known = _single()
-    if word not in known:
-        for i in range(3, len(word) - 2):
-            if word[:i] in known and word[i:] in known:
-                return f"{word[:i]} {word[i:]}"
-    return word
+    if word in known or len(word) > 80:
+        return word
+    # parts[i]: the fewest known words that make up the first i letters
+    parts: list[list[str] | None] = [[]] + [None] * len(word)
+    for i in range(1, len(word) + 1):
+        for k in range(max(0, i - 20), i):
+            piece, before = word[k:i], parts[k]
+            if before is not None and (piece in known or piece == "a") and (parts[i] is None or len(before) + 1 < len(parts[i])):
+                parts[i] = [*before, piece]
+    return " ".join(parts[-1]) if parts[-1] else word
 
 
 def _undraw(m: re.Match) -> str:
