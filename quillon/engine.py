@@ -86,13 +86,13 @@ class ContextEngine:
         chunks = self.tables["chunks"]
         made = materialize(P.ingest(rows, now))
         fresh = materialize(made.join(chunks.select("id").distinct(), "id", "left_anti"))
-        tagged = X.extract_rows(fresh)
+        tagged = materialize(X.extract_rows(fresh))
         whole = fresh.where(~F.coalesce(F.get_json_object("metadata", "$.split") == "true", F.lit(False)))
         vectors = self.embedder(whole.select("id", "text", "timestamp"), "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL")
         added = {"chunks": fresh, "code_symbols": X.symbols_of(tagged), "code_references": X.references_of(tagged), "chunk_embeddings": vectors, "dependencies": P.contains_edges(fresh)}
         for name, extra in added.items():
             table = self.tables[name]
-            self.tables[name] = table.unionByName(extra.select(table.columns))
+            self.tables[name] = table.unionByName(materialize(extra.select(table.columns)))
         return fresh
 
     def ingest_directory(self, root: str, allowed: list[str] = (), project: bool = False, **options: bool) -> DataFrame:
@@ -119,7 +119,7 @@ class ContextEngine:
         """Embed the chunks that have no embedding of the engine's model."""
         missing = T.missing_embeddings(self.tables["chunks"], self.tables["chunk_embeddings"], self.model)
         rows = self.tables["chunks"].join(missing, "id", "left_semi").dropDuplicates(["id"]).select("id", "text", "timestamp")
-        made = self.embedder(rows, "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL")
+        made = materialize(self.embedder(rows, "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL"))
         table = self.tables["chunk_embeddings"]
         self.tables["chunk_embeddings"] = table.unionByName(made.select(table.columns))
         return made
@@ -159,7 +159,7 @@ class ContextEngine:
         if strategy in ("hybrid", "text", "structural"):
             arms["fts"] = A.merged_text(A.full_text(planned, chunks, depth), lexical, depth)
         if strategy in ("hybrid", "vector", "structural"):
-            asked = self.embedder(planned.select("query_id", "text"), "text", "embedding")
+            asked = materialize(self.embedder(planned.select("query_id", "text"), "text", "embedding"))
             arms["vector"] = A.vector(asked, self.tables["chunk_embeddings"].where(F.col("model") == self.model), depth)
         if structural is not None:
             arms["structural"] = structural.select("query_id", "chunk_id", F.col("structural_score").alias("score"))
@@ -236,7 +236,7 @@ class ContextEngine:
     # --- scoring and upkeep ---------------------------------------------------------------------------
     def score(self, tasks: DataFrame, now, max_hot_tokens: int | None = None) -> DataFrame:
         """Route the chunks nearest to each task (task_id, text): task_id, chunk_id, score, tier."""
-        asked = self.embedder(tasks.select(F.col("task_id").alias("query_id"), "text"), "text", "embedding")
+        asked = materialize(self.embedder(tasks.select(F.col("task_id").alias("query_id"), "text"), "text", "embedding"))
         vectors = self.tables["chunk_embeddings"].where(F.col("model") == self.model)
         near = A.vector(asked, vectors, SCORED).select(F.col("query_id").alias("task_id"), "chunk_id", F.col("score").alias("semantic"))
         meta = self.tables["chunks"].select(F.col("id").alias("chunk_id"), "type", "timestamp", F.col("tokensEstimate").alias("tokens")).dropDuplicates(["chunk_id"])

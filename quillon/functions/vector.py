@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ EMBEDDING_DIMS = 384
 WEEK_SECONDS = 7 * 24 * 3600
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often and deep in lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -22,9 +29,9 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for different lengths, empty or zero vectors."""
-    both = norm(a) * norm(b)
-    fine = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (both > 0)
-    return F.when(fine, dot(a, b) / both).otherwise(F.lit(0.0))
+    same = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    ratio = bind(norm(a) * norm(b), lambda both: F.when(both > 0, dot(a, b) / both).otherwise(F.lit(0.0)))
+    return F.when(same, ratio).otherwise(F.lit(0.0))
 
 
 def deterministic_embedding(text: Column, dims: int = EMBEDDING_DIMS) -> Column:
@@ -42,13 +49,15 @@ def deterministic_embedding(text: Column, dims: int = EMBEDDING_DIMS) -> Column:
         lambda s, c: F.struct(F.pmod(s["h"] * 31 + F.ascii(c), wrap).alias("h"), F.pmod(s["p"] * 31, wrap).alias("p")),
     )
 
-    def value(i: Column) -> Column:
-        raw = F.pmod(folded["h"] + F.pmod(folded["p"] * (i.cast("long") * 7919 + 1), wrap), wrap)
-        return F.when(raw >= 2**31, raw - 2**32).otherwise(raw) / F.lit(2147483647.0)
+    # what a lambda uses is computed for each element unless it is itself bound by a lambda
+    def values(state: Column) -> Column:
+        def value(i: Column) -> Column:
+            return bind(F.pmod(state["h"] + F.pmod(state["p"] * (i.cast("long") * 7919 + 1), wrap), wrap), lambda raw: F.when(raw >= 2**31, raw - 2**32).otherwise(raw) / F.lit(2147483647.0))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)
 
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)
-    length = norm(raw)
-    return F.when(F.length(clean) > 0, F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(x)))
+    unit = bind(bind(folded, values), lambda raw: bind(norm(raw), lambda length: F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(x))))
+    return F.when(F.length(clean) > 0, unit)
 
 
 def fnv1a32(text: Column) -> Column:

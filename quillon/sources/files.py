@@ -7,6 +7,7 @@ before their content is decoded.
 
 from __future__ import annotations
 
+import datetime
 import os
 import re
 
@@ -21,6 +22,8 @@ PROJECT_SKIP = (".cache", ".git", ".hg", ".next", ".svn", ".turbo", ".venv", "__
 BINARY_SUFFIXES = ("png", "jpg", "jpeg", "gif", "ico", "woff", "woff2", "ttf", "eot", "svg", "webp", "mp3", "mp4", "zip", "gz", "tar", "db")
 WATCH_SKIP = ("node_modules", ".git", "dist")
 WATCH_BINARY = ("png", "jpg", "jpeg", "gif", "ico", "woff", "woff2", "ttf", "eot")
+HIDDEN_CONTEXT = r"\.env\.example$|^\.github/copilot-instructions\.md$|^\.cursor/rules/"
+HIDDEN_MOST = 1_000
 CODE_LANGUAGES = ("typescript", "javascript", "python", "rust", "go", "java")
 TEST_PATH = r"(?i)(^|/)(__tests__|tests?|spec|fixtures|mocks?)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$|test_.*\.py$|_test\.go$"
 CONFIG_NAME = r"(?i)^((tsconfig|jsconfig)(\..*)?\.json|(vite|next|nuxt|astro|svelte|vitest|jest|eslint|prettier|biome|rollup|webpack|babel)\.config\..*|docker-compose\..*ya?ml|compose\..*ya?ml|package\.json|package-lock\.json|dockerfile)$"
@@ -73,7 +76,30 @@ def read_directory(spark: SparkSession, root: str, max_bytes: int = 64 << 20) ->
     relative = F.when(plain.startswith(prefix), F.substring(plain, F.lit(len(prefix) + 1), F.length(plain))).otherwise(plain)
     rows = found.where(F.col("length") <= max_bytes).select(relative.alias("rel"), "content", F.col("modificationTime").alias("modified"))
     wanted = rows.where(~_in_folder(F.col("rel"), WALK_SKIP) & ~has_binary_suffix(F.col("rel")))
-    return wanted.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), "modified")
+    out = wanted.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), "modified")
+    hidden = _hidden_files(base) if "://" not in base and not base.startswith("file:") else []
+    return out.unionByName(spark.createDataFrame(hidden, out.schema)) if hidden else out
+
+
+def _hidden_files(root: str) -> list[tuple]:
+    """Context files whose names begin with a dot: Spark's file sources leave these out.
+
+    Only such files are read here, on the driver: environment examples, rules and instructions, at most
+    `HIDDEN_MOST` of at most a megabyte.
+    """
+    out: list[tuple] = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(f for f in folders if f not in PROJECT_SKIP and not os.path.islink(os.path.join(folder, f)))
+        for name in sorted(names):
+            full = os.path.join(folder, name)
+            relative = os.path.relpath(full, root).replace(os.sep, "/")
+            if not re.search(r"(^|/)[._]", relative) or not re.search(HIDDEN_CONTEXT, relative.lower()) or os.path.islink(full) or os.path.getsize(full) > 1 << 20:
+                continue
+            if len(out) >= HIDDEN_MOST:
+                raise ValueError(f"more than {HIDDEN_MOST} hidden context files below {root}")
+            with open(full, encoding="utf-8", errors="replace") as f:
+                out.append((relative, f.read(), datetime.datetime.fromtimestamp(os.path.getmtime(full))))
+    return out
 
 
 def project_files(files: DataFrame, docs: bool = True, tests: bool = False, benchmarks: bool = False) -> DataFrame:
