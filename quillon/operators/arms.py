@@ -47,21 +47,26 @@ def full_text(queries: DataFrame, docs: DataFrame, k: int = DEPTH, query_id: str
     return ranked(sums.withColumn("score", F.round("score", 9)), k)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int = DEPTH, query_id: str = "query_id", query: str = "text", doc: str = "id", text: str = "text", path: str = "path") -> DataFrame:
-    """Distinct terms as substrings: `LEXICAL_TEXT` each in text or path, `LEXICAL_PATH` more in the path.
+def term_hits(terms: DataFrame, chunks: DataFrame, doc: str = "id", text: str = "text", path: str = "path") -> DataFrame:
+    """chunk_id, term, in_path for every term found as a substring of a chunk's text or path.
 
-    Substring search has no key to join on. All distinct terms of the queries are gathered into one array,
-    and every chunk is searched for them once; hits then join the queries by term.
+    Terms consist of name characters, so they are searched in the vocabulary, the distinct words of the corpus, and
+    words meet the chunks by equality; no text is searched for a term.
     """
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.lexical_terms(F.coalesce(F.col(query), F.lit("")))).alias("term"))
-    every = terms.agg(F.collect_set("term").alias("all_terms"))
-    low, low_path = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower(F.coalesce(F.col(path), F.lit("")))
-    both = F.concat(low, F.lit(" "), low_path)
-    searched = chunks.select(F.col(doc).alias("chunk_id"), both.alias("both"), low_path.alias("low_path")).join(F.broadcast(every))
-    hits = searched.select("chunk_id", "low_path", F.explode(F.filter("all_terms", lambda t: F.col("both").contains(t))).alias("term"))
-    points = hits.select("chunk_id", "term", (F.lit(LEXICAL_TEXT) + F.when(F.col("low_path").contains(F.col("term")), LEXICAL_PATH).otherwise(0)).alias("points"))
-    best = points.groupBy("chunk_id", "term").agg(F.max("points").alias("points"))
-    sums = terms.join(best, "term").groupBy("query_id", "chunk_id").agg(F.sum("points").cast("double").alias("score"))
+    word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"([a-z0-9_$]+)"), 1))
+    laid = F.array(F.struct(word(text).alias("words"), F.lit(False).alias("in_path")), F.struct(word(path).alias("words"), F.lit(True).alias("in_path")))
+    words = chunks.select(F.col(doc).alias("chunk_id"), F.explode(laid).alias("w")).select("chunk_id", "w.in_path", F.explode("w.words").alias("word"))
+    wanted = terms.select("term").where("term <> ''").distinct()
+    within = substring_hits(words.select("word").distinct(), ["word"], "word", wanted, 1)
+    return words.join(within, "word").groupBy("chunk_id", "term").agg(F.max("in_path").alias("in_path"))
+
+
+def lexical(queries: DataFrame, chunks: DataFrame, k: int = DEPTH, query_id: str = "query_id", query: str = "text", doc: str = "id", text: str = "text", path: str = "path") -> DataFrame:
+    """Distinct terms as substrings: `LEXICAL_TEXT` each in text or path, `LEXICAL_PATH` more in the path."""
+    terms = materialize(queries.select(F.col(query_id).alias("query_id"), F.explode(X.lexical_terms(F.coalesce(F.col(query), F.lit("")))).alias("term")))
+    hits = term_hits(terms, chunks, doc, text, path)
+    points = hits.select("chunk_id", "term", (F.lit(LEXICAL_TEXT) + F.when(F.col("in_path"), LEXICAL_PATH).otherwise(0)).alias("points"))
+    sums = terms.join(points, "term").groupBy("query_id", "chunk_id").agg(F.sum("points").cast("double").alias("score"))
     return ranked(sums, k)
 
 
@@ -203,22 +208,27 @@ def structural(planned: DataFrame, chunks: DataFrame, symbols: DataFrame, refere
     name. `planned` comes from `plan_queries` with a query_id.
     """
     asked = materialize(_asked(planned))
-    cols = ["query_id", "chunk_id", "kind", "s", "d", "shown", "symbol_exact", "path_exact"]
     paths = chunks.select(F.col("id").alias("chunk_id"), F.col("path")).where("path IS NOT NULL AND path <> '' AND chunk_id IS NOT NULL").distinct()
-    by_path = _path_points(asked, paths).join(paths, "path").select(cols)
     owners = symbols.select(F.col("chunkId").alias("chunk_id"), "name", F.coalesce("kind", F.lit("")).alias("symbol_kind"), F.coalesce("isExported", F.lit(False)).alias("out")).where("chunk_id IS NOT NULL")
-    by_symbol = _symbol_points(asked, symbols).join(owners, ["name", "symbol_kind", "out"]).select(cols)
     users = references.select(F.col("chunkId").alias("chunk_id"), "target", "normalizedTarget").where("chunk_id IS NOT NULL")
-    by_reference = _reference_points(asked, references).join(users, ["target", "normalizedTarget"]).select(cols)
-    hits = by_path.unionByName(by_symbol).unionByName(by_reference)
-    sums = hits.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum("s"), 6).alias("structural_score"),
-        F.round(F.least(F.lit(DEPENDENCY_CAP), F.sum("d")), 6).alias("dependency_boost"),
-        F.max("symbol_exact").alias("symbol_exact"),
-        F.max("path_exact").alias("path_exact"),
+    arms = [(_path_points(asked, paths), ["path"], paths), (_symbol_points(asked, symbols), ["name", "symbol_kind", "out"], owners), (_reference_points(asked, references), ["target", "normalizedTarget"], users)]
+    parts = None
+    for points, key, places in arms:
+        per_name = points.groupBy("query_id", *key).agg(F.sum("s").alias("s"), F.sum("d").alias("d"), F.max("symbol_exact").alias("symbol_exact"), F.max("path_exact").alias("path_exact"))
+        placed = per_name.join(places, key).select("query_id", "chunk_id", "s", "d", "symbol_exact", "path_exact")
+        parts = placed if parts is None else parts.unionByName(placed)
+    sums = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("structural_score"), F.round(F.least(F.lit(DEPENDENCY_CAP), F.sum("d")), 6).alias("dependency_boost"), F.max("symbol_exact").alias("symbol_exact"), F.max("path_exact").alias("path_exact"))
+    best = materialize(ranked(sums.withColumn("score", F.round(F.col("structural_score") + F.col("dependency_boost"), 6)).where("score > 0"), k))
+    # what was found is told for the best only
+    chosen, told = best.select("query_id", "chunk_id"), None
+    for points, key, places in arms:
+        where = chosen.join(places.distinct(), "chunk_id")
+        said = points.select("query_id", *key, "kind", "shown", "s").join(where, ["query_id", *key]).select("query_id", "chunk_id", "kind", "shown", "s")
+        told = said if told is None else told.unionByName(said)
+    why = told.groupBy("query_id", "chunk_id").agg(
         F.sort_array(F.collect_set(F.struct((-F.col("s")).alias("order"), F.concat_ws(": ", "kind", "shown").alias("reason")))).alias("why"),
         F.array_sort(F.collect_set(F.when(F.col("kind").isin("symbol exact match", "symbol strong exact match"), F.col("shown")))).alias("exact_symbols"),
         F.array_sort(F.collect_set(F.when(F.col("kind").isin("direct reference exact match", "direct reference strong exact match"), F.col("shown")))).alias("exact_references"),
     )
-    best = sums.withColumn("reasons", F.slice(F.array_distinct(F.transform("why", lambda w: w["reason"])), 1, MOST_REASONS)).drop("why").withColumn("score", F.round(F.col("structural_score") + F.col("dependency_boost"), 6)).where("score > 0")
-    return ranked(best, k)
+    reasons = why.withColumn("reasons", F.slice(F.array_distinct(F.transform("why", lambda w: w["reason"])), 1, MOST_REASONS)).drop("why")
+    return best.join(reasons, ["query_id", "chunk_id"])
