@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.materialize import materialize
+from quillon.plans.materialize import materialize, spread
 
 #: Items packed together. A shard's work grows with its distinct demands, of which there are at most as many.
 SHARD = 20_000
@@ -137,7 +137,9 @@ def pack(counted: DataFrame, item: str = "doc_id", capacity: int = 2048, max_seg
         if not count:
             break
         shards = max(1, -(-count // shard_items))
-        packed = materialize(todo.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(packer(f"r{round_}"), schema))
+        # the shards are small, and by their size alone adaptive execution would pack them one after the other
+        sharded = spread(todo.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)).cast("int")), "shard")
+        packed = materialize(sharded.groupBy("shard").applyInPandas(packer(f"r{round_}"), schema))
         last = shards == 1 or round_ == ROUNDS - 1
         kept = packed if last else packed.where(F.col("used") >= REOPEN * capacity)
         done = kept if done is None else done.unionByName(kept)
