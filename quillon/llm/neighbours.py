@@ -9,10 +9,10 @@
    one in 100,000 aside; so a bucket's pairs are never emitted.
 4. Distinct pairs get their exact cosine in double precision and are ranked.
 
-A bucket with more than `bucket_rows` classes is not joined: what lies in it or looks into it is hashed
-again with half the bucket width, which keeps near neighbours together and splits dense groups. On the
-last level oversized buckets are cut into runs of `bucket_rows` in the order of a random projection, and
-every class is compared with its own run and the next.
+A bucket with more than `bucket_rows` classes is compared as a whole too, but by blocks: what is stored in it
+and what looks into it are cut into blocks of at most `BLOCK` rows on average, every pair of blocks is one group,
+and a group takes all its cosines as a matrix product. Of these only each vector's best `k`, and what can't be
+told from them, become pairs, so a dense group's pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from quillon.plans.materialize import materialize
 SKETCH = 128
 #: Standard deviations of the sketch distance that are allowed for.
 SIGMAS = 4.5
-#: Most halvings of the bucket width.
-LEVELS = 8
+#: Rows of a block of a crowded bucket.
+BLOCK = 2048
+#: What a cosine in single precision, or one rounded to 6 decimals, may be off by.
+BLUR = 1e-5
 
 
 def usable_vectors(rows: DataFrame, item: str, vector: str, model: str, dims: str, time: str) -> DataFrame:
@@ -101,27 +103,65 @@ def _hasher(tables: int, hashes: int, probes: int, width: float, seed: int, look
     return run
 
 
-def _candidates(classes: DataFrame, tables: int, hashes: int, probes: int, width: float, bits: int, bucket_rows: int, level: int = 0) -> DataFrame:
+def _best_of_blocks(k: int, min_similarity: float):
+    """An applyInArrow function for a group of one stored and one looking block: each row's best pairs (a, b), a < b.
+
+    For either side a row's best `k` partners of at least `min_similarity` are kept, and all that come within
+    `BLUR` of the last of them; ties and exact cosines are settled later.
+    """
+
+    def unit(side: pa.Table) -> np.ndarray:
+        vectors = side.column("v").combine_chunks()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("looks").to_numpy()
+        left, right = group.filter(pa.array(side)), group.filter(pa.array(~side))
+        out = np.zeros((0, 2), np.int64)
+        if len(left) and len(right):
+            a, b = left.column("cid").to_numpy(), right.column("cid").to_numpy()
+            cosine = unit(left) @ unit(right).T
+            cosine[a[:, None] == b[None, :]] = -2
+            keep = np.zeros(cosine.shape, bool)
+            for axis in (0, 1):
+                n = cosine.shape[axis]
+                last = np.partition(cosine, n - k, axis=axis).take([n - k], axis=axis) if n > k else np.float32(-1)
+                keep |= cosine >= np.maximum(last, np.float32(min_similarity)) - np.float32(BLUR)
+            i, j = np.nonzero(keep & (cosine > -1.5))
+            out = np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])], axis=1)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+
+    return run
+
+
+def _crowded(classes: DataFrame, stored: DataFrame, looking: DataFrame, hot: DataFrame, k: int, min_similarity: float) -> DataFrame:
+    """Pairs (a, b) of the buckets in `hot` (key, n): all that lies in a bucket against all that looks into it."""
+    lookups = materialize(looking.join(hot, "key", "left_semi").select("cid", "key"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = hot.join(lookups.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", blocks(F.col("n")).alias("here"), blocks(F.col("m")).alias("there"))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(11), "cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = lookups.join(sizes, "key").withColumn("p", own("there")).select("cid", "key", "p", every("here").alias("q"), F.lit(True).alias("looks"))
+    right = stored.select("cid", "key").join(sizes, "key").withColumn("q", own("here")).select("cid", "key", every("there").alias("p"), "q", F.lit(False).alias("looks"))
+    rows = left.unionByName(right).join(classes.select("cid", "v"), "cid")
+    return rows.groupBy("key", "p", "q").applyInArrow(_best_of_blocks(k, min_similarity), "a long, b long")
+
+
+def _candidates(classes: DataFrame, tables: int, hashes: int, probes: int, width: float, bits: int, bucket_rows: int, k: int, min_similarity: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of classes that share a probed bucket and have close sketches."""
     schema = "cid long, key long, s1 long, s2 long"
-    stored = classes.mapInArrow(_hasher(tables, hashes, probes, width, level, False), schema)
-    looking = classes.mapInArrow(_hasher(tables, hashes, probes, width, level, True), schema)
+    stored = classes.mapInArrow(_hasher(tables, hashes, probes, width, 0, False), schema)
+    looking = classes.mapInArrow(_hasher(tables, hashes, probes, width, 0, True), schema)
     here = stored.select(F.col("cid").alias("b"), "key", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    hot = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key"))
+    hot = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
     crowded = not hot.isEmpty()
     close = (F.col("cid") != F.col("b")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= bits)
     calm = here.join(hot, "key", "left_anti") if crowded else here
     met = looking.join(calm, "key").where(close).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b"))
-    if crowded and level < LEVELS:
-        again = looking.join(hot, "key", "left_semi").select("cid").distinct()
-        dense = materialize(classes.join(again, "cid", "left_semi"))
-        met = met.unionByName(_candidates(dense, tables, hashes, probes, width / 2, bits, bucket_rows, level + 1))
-    elif crowded:
-        order = Window.partitionBy("key").orderBy("s1", "s2", "cid")
-        runs = stored.join(hot, "key", "left_semi").withColumn("run", F.floor((F.row_number().over(order) - 1) / bucket_rows))
-        left = runs.select("cid", "key", "s1", "s2", F.explode(F.array(F.col("run"), F.col("run") + 1)).alias("run"))
-        right = runs.select(F.col("cid").alias("b"), "key", F.col("s1").alias("t1"), F.col("s2").alias("t2"), "run")
-        met = met.unionByName(left.join(right, ["key", "run"]).where(close).select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")))
+    if crowded:
+        met = met.unionByName(_crowded(classes, stored, looking, hot, k, min_similarity))
     return met.distinct()
 
 
@@ -157,7 +197,7 @@ def nearest(rows: DataFrame, item: str = "chunkId", vector: str = "embedding", m
         hashes = 8 + max(0, math.ceil(math.log(max(1, classes.count()) / 1e6, 4)))
     p = math.acos(min_similarity) / math.pi
     bits = math.ceil(SKETCH * p + SIGMAS * math.sqrt(SKETCH * p * (1 - p)))
-    pairs = _candidates(classes.select("cid", "model", "v"), tables, hashes, probes, width, bits, bucket_rows)
+    pairs = _candidates(classes.select("cid", "model", "v"), tables, hashes, probes, width, bits, bucket_rows, k, min_similarity)
     va, vb = classes.select(F.col("cid").alias("a"), F.col("v").alias("va")), classes.select(F.col("cid").alias("b"), F.col("v").alias("vb"))
     sims = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, sim double").where(F.col("sim") >= min_similarity)
     near = sims.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "sim").select("p.a", "p.b", "sim")

@@ -74,3 +74,14 @@ def test_ranks_and_clashing_columns(spark):
     for i in {r["item"] for r in out}:
         sims = [r["similarity"] for r in sorted((r for r in out if r["item"] == i), key=lambda r: r["rank"])]
         assert sims == sorted(sims, reverse=True)
+
+
+def test_crowded_group_of_near_copies(spark):
+    """A third of all vectors in one group, at cosines of about 0.87: its neighbours are found as elsewhere."""
+    rnd = np.random.default_rng(6)
+    centre = rnd.standard_normal(128)
+    group = [(f"g{k:04d}", (centre + s * rnd.standard_normal(128)).astype(np.float32).tolist(), "m", 128, T0) for k, s in enumerate(rnd.uniform(0.36, 0.41, 600))]
+    data = group + clusters(240, 5, 128, 0.3, 7, "q")
+    want, have = brute(data), pairs(spark, data, bucket_rows=10)
+    dense = {p for p in want if p[0][0] == "g"}
+    assert len(dense & have) / len(dense) >= 0.97 and len(want & have) / len(have) >= 0.97
