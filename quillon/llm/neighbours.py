@@ -17,6 +17,7 @@ told from them, become pairs, so a dense group's pairs are never emitted.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import zlib
@@ -33,6 +34,8 @@ from quillon.plans.materialize import materialize
 SKETCH = 128
 #: Standard deviations of the sketch distance that are allowed for.
 SIGMAS = 4.5
+#: Fewest tables, and the probability with which a pair at the wanted similarity is to be found.
+TABLES, SURE = 10, 0.9
 #: Rows of a block of a crowded bucket.
 BLOCK = 2048
 #: What a cosine in single precision, or one rounded to 6 decimals, may be off by.
@@ -54,6 +57,37 @@ def _probe_sets(hashes: int) -> list[tuple[int, ...]]:
     return [(), *((j,) for j in one), *(p for p in itertools.combinations(one, 2) if p[0] // 2 != p[1] // 2)]
 
 
+@functools.cache
+def success(hashes: int, probes: int, width: float, similarity: float, samples: int = 20_000) -> float:
+    """Share of pairs at `similarity` that one table finds, from either side; simulated, the same on every call."""
+    rng = np.random.default_rng(hashes)
+    sets = _probe_sets(hashes)
+    member = np.zeros((2 * hashes, len(sets)))
+    for s, own in enumerate(sets):
+        member[list(own), s] = 1
+    found = 0
+    for _ in range(0, samples, 2_000):
+        here = rng.random((2_000, hashes))
+        there = here + rng.standard_normal((2_000, hashes)) * (math.sqrt(max(0.0, 2 - 2 * similarity)) / width)
+        step = np.floor(there)
+        hit = np.zeros(2_000, bool)
+        for part, way in ((here, step), (there - step, -step)):
+            cost = np.stack([part**2, (1 - part) ** 2], axis=2).reshape(2_000, -1) @ member
+            moved = np.stack([way == -1, way == 1], axis=2).reshape(2_000, -1)
+            mine = np.where(moved, np.stack([part**2, (1 - part) ** 2], axis=2).reshape(2_000, -1), 0).sum(axis=1)
+            hit |= (np.abs(way) <= 1).all(axis=1) & (moved.sum(axis=1) <= 2) & ((cost < mine[:, None] - 1e-12).sum(axis=1) < probes)
+        found += int(hit.sum())
+    return found / samples
+
+
+def tables_for(hashes: int, probes: int, width: float, similarity: float) -> int:
+    """The fewest tables, at least `TABLES`, that find a pair at `similarity` with a probability of `SURE`."""
+    p = success(hashes, probes, width, similarity)
+    if p == 0:
+        raise ValueError(f"pairs at {similarity} aren't found with {hashes} hashes of width {width}; a greater width is needed")
+    return max(TABLES, math.ceil(math.log(1 - SURE) / math.log1p(-p))) if p < 1 else TABLES
+
+
 def _hasher(tables: int, hashes: int, probes: int, width: float, seed: int, looking: bool):
     """A mapInArrow function: (cid, model, v) to (cid, key, s1, s2), one row per table (and probe)."""
     sets = _probe_sets(hashes)
@@ -182,7 +216,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.round(sim, 6))], ["a", "b", "sim"])
 
 
-def nearest(rows: DataFrame, item: str = "chunkId", vector: str = "embedding", model: str = "model", dims: str = "dimensions", time: str = "timestamp", k: int = 5, min_similarity: float = 0.85, tables: int = 10, hashes: int | None = None, probes: int = 24, width: float = 1.0, bucket_rows: int = 5000) -> DataFrame:
+def nearest(rows: DataFrame, item: str = "chunkId", vector: str = "embedding", model: str = "model", dims: str = "dimensions", time: str = "timestamp", k: int = 5, min_similarity: float = 0.85, tables: int | None = None, hashes: int | None = None, probes: int = 24, width: float | None = None, bucket_rows: int = 5000) -> DataFrame:
     """Per item its up to `k` most similar items of the same model: item, neighbour, similarity, rank.
 
     Similarity is the cosine in double precision, rounded to 6 decimals, at least `min_similarity`; ties go
@@ -190,11 +224,17 @@ def nearest(rows: DataFrame, item: str = "chunkId", vector: str = "embedding", m
     zero; length other than `dims`) are ignored; of several usable rows of an item the latest counts, a
     null time being the earliest. Items without a neighbour have no row; an empty input gives none.
     `hashes` defaults to 8 up to a million vectors and one more for each further factor of 4.
+    `tables` defaults to as many as find a pair at `min_similarity` with a probability of `SURE` at these
+    hashes, probes and width; `width` to 1, and more for similarities below 0.85, by their distance.
     """
     latest = usable_vectors(rows, item, vector, model, dims, time).withColumn("h1", F.xxhash64("model", "v")).withColumn("h2", F.xxhash64(F.lit(7), "v", "model"))
     classes = materialize(latest.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()))
     if hashes is None:
         hashes = 8 + max(0, math.ceil(math.log(max(1, classes.count()) / 1e6, 4)))
+    if width is None:
+        width = max(1.0, math.sqrt((1 - min_similarity) / 0.15))
+    if tables is None:
+        tables = tables_for(hashes, probes, width, min_similarity)
     p = math.acos(min_similarity) / math.pi
     bits = math.ceil(SKETCH * p + SIGMAS * math.sqrt(SKETCH * p * (1 - p)))
     pairs = _candidates(classes.select("cid", "model", "v"), tables, hashes, probes, width, bits, bucket_rows, k, min_similarity)

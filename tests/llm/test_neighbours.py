@@ -85,3 +85,12 @@ def test_crowded_group_of_near_copies(spark):
     want, have = brute(data), pairs(spark, data, bucket_rows=10)
     dense = {p for p in want if p[0][0] == "g"}
     assert len(dense & have) / len(dense) >= 0.97 and len(want & have) / len(have) >= 0.97
+
+
+def test_more_hashes_lose_nothing(spark):
+    """What is used from a million classes on finds as many pairs at cosine 0.86."""
+    rnd, data = np.random.default_rng(8), []
+    for n in range(300):
+        x, y = np.linalg.qr(rnd.standard_normal((128, 2)))[0].T
+        data += [(f"{n:03d}a", x.astype(np.float32).tolist(), "m", 128, T0), (f"{n:03d}b", (0.86 * x + (1 - 0.86**2) ** 0.5 * y).astype(np.float32).tolist(), "m", 128, T0)]
+    assert len(pairs(spark, data, hashes=10)) / 300 >= 0.87
