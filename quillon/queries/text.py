@@ -149,6 +149,14 @@ def conversation_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(X.content_hash(F.col("text")).alias("hash"), F.col("tokensEstimate").alias("tokens")).distinct()
 
 
+@register("conversation_pieces")
+def conversation_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversation rows, whatever their length: whole messages, notices of split ones, and their pieces."""
+    talk = table(spark, folder, "chunks").where("source = 'conversation'").select(F.get_json_object("metadata", "$.role").alias("role"), "text")
+    made = P.ingest(P.conversation_chunks(talk), F.lit("2025-01-01"))
+    return made.select("id", "parentId", X.content_hash(F.col("text")).alias("hash"), F.col("tokensEstimate").alias("tokens"), "text")
+
+
 @register("ingest_documents")
 def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))

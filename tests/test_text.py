@@ -148,3 +148,17 @@ def test_instruction_sections_and_compression(spark):
     assert r.constraints == ["Keep it small."] and r.facts[-1] == "The cache is warm." and "def run(x)" in r.summary
     sections = C.llm_sections(spark.createDataFrame([(1, "SUMMARY:\nAll fine\nFACTS:\n- one\n* two\n\nCONSTRAINTS:\n1. three\n"), (2, None)], "id int, text string"), "id").orderBy("id").collect()
     assert (sections[0].summary, sections[0].facts, sections[0].constraints) == (["All fine"], ["one", "two"], ["three"]) and sections[1].facts == []
+
+
+def test_long_conversations(spark, tmp_path):
+    from quillon.queries import REGISTRY
+
+    long = " ".join(f"word{k}" for k in range(3000))
+    rows = [("conversation", '{"role": "user"}', "a short one"), ("conversation", None, long), ("file", None, "no talk"), ("conversation", None, None), ("conversation", None, "x" * 8000)]
+    spark.createDataFrame(rows, "source string, metadata string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    out = REGISTRY["conversation_pieces"][0](spark, str(tmp_path)).collect()
+    tops, pieces = [r for r in out if r.parentId is None], [r for r in out if r.parentId is not None]
+    assert sorted(r.text[:11] for r in tops) == ["[split from", "a short one", "xxxxxxxxxxx"]
+    parent = next(r for r in tops if r.text.startswith("[split"))
+    assert len(pieces) > 1 and {r.parentId for r in pieces} == {parent.id} and all(len(r.text) < len(long) for r in pieces)
+    assert all(any(w in r.text for r in pieces) for w in long.split())
