@@ -8,7 +8,8 @@ and at least `HITS` different seeds altogether. So:
 2. A document and an item are a candidate if they share a rare seed (in at most `rare_share` of the documents
    that have any); candidates with common seeds only must share at least `HITS`, as every passage does.
 3. Around each cluster of seeds on nearby diagonals, document and item are aligned (Smith-Waterman with
-   traceback, in a band about the diagonals), and the alignment is searched for a run that keeps the rule.
+   traceback, in a band about the diagonals), and the alignment is searched for a run that keeps the rule; the
+   next best alignments too, as long as seeds outside the earlier ones are left for a passage.
 
 The items are few; they are collected, at most `MAX_ITEMS`, and broadcast with the seeds' counts.
 """
@@ -33,6 +34,8 @@ RUN, ONE_IN, SEED, HITS = 16, 10, 5, 4
 MAX_ITEMS, MAX_WORDS = 100_000, 20_000_000
 #: Alignment scores, and how far from the seeds' diagonals the alignment may go.
 MATCH, MISMATCH, GAP, BAND = 2, -3, -3, 12
+#: Score of the poorest passage: RUN words, one of them edited.
+LEAST = MATCH * (RUN - RUN // ONE_IN) + MISMATCH * (RUN // ONE_IN)
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -89,8 +92,8 @@ class ItemIndex:
         return hit, h[hit]
 
 
-def _align(doc: np.ndarray, item: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
-    """Steps of the best local alignment with document minus item position in [low, high].
+def _align(doc: np.ndarray, item: np.ndarray, low: int, high: int, taken: set[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Score and steps of the best local alignment, free of `taken`, with document minus item position in [low, high].
 
     A step is (document word or -1, item word or -1); positions are relative to the two arrays.
     """
@@ -104,7 +107,7 @@ def _align(doc: np.ndarray, item: np.ndarray, low: int, high: int) -> list[tuple
         word = t[j]
         for k in range(1, width + 1):
             i = j + low + k - 1
-            if not 0 <= i < n:
+            if not 0 <= i < n or (i, j) in taken:
                 continue
             score = before[k] + (MATCH if d[i] == word else MISMATCH)
             move = 1
@@ -131,7 +134,7 @@ def _align(doc: np.ndarray, item: np.ndarray, low: int, high: int) -> list[tuple
         else:
             steps.append((i, -1))
             k -= 1
-    return steps[::-1]
+    return best, steps[::-1]
 
 
 def _longest_run(steps: list[tuple[int, int]], doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
@@ -191,10 +194,19 @@ def best_passage(doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]]
             near = [p for p in cluster if low <= p[0] - p[1] <= high]
             start, stop = max(0, low), min(len(doc), high + len(item) + 1)
             part = doc[start:stop]
-            steps = _align(part, item, low - start, high - start)
-            found = _longest_run(steps, part, item)
-            if found[0] > best[0]:
-                best = (*found[:3], found[3] + start if found[3] >= 0 else -1)
+            # the best alignment may hold no passage, so the next ones are looked at while seeds are left for one
+            taken: set[tuple[int, int]] = set()
+            left = {(i - start, j) for i, j in near}
+            while len({j for _, j in left}) >= HITS or not taken:
+                score, steps = _align(part, item, low - start, high - start, taken)
+                found = _longest_run(steps, part, item)
+                if found[0] > best[0]:
+                    best = (*found[:3], found[3] + start if found[3] >= 0 else -1)
+                if score < LEAST:
+                    break
+                path = {(i, j) for i, j in steps if i >= 0 and j >= 0}
+                taken |= path
+                left -= path
             at = end if near else at + 1
     return best
 

@@ -101,3 +101,13 @@ def test_empty_and_extra_columns(spark, data):
     assert leaks(*more).count() == 5
     with pytest.raises(ValueError):
         leaks(docs, items, run_words=8)
+
+
+def test_passage_beside_a_better_alignment():
+    """60 words with every fifth changed score more than the 20 unchanged ones further on, but hold no passage."""
+    item = [f"w{k}" for k in range(110)]
+    doc = [f"x{k}" if k < 60 and k % 5 == 4 or 60 <= k < 90 else w for k, w in enumerate(item)]
+    index = ItemIndex([(1, " ".join(item))])
+    w = index.numbers(" ".join(doc))
+    pairs = [(pos, at) for pos, h in zip(*(x.tolist() for x in index.found(w))) for _, at in index.where[h]]
+    assert tuple(best_passage(w, index.words[0], pairs)) == (22, 2, 90, 90)
