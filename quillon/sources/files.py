@@ -64,18 +64,22 @@ def ignored(path: Column, patterns: list[str] = ()) -> Column:
     return out
 
 
-def read_directory(spark: SparkSession, root: str, max_bytes: int = 64 << 20) -> DataFrame:
+def read_directory(spark: SparkSession, root: str, max_bytes: int = (1 << 31) - 1) -> DataFrame:
     """path (relative to the root), content, modified of every text file the plain walk takes.
 
-    Files over `max_bytes` aren't read as one value; a missing root raises.
+    A wanted file over `max_bytes` (by default what one value can hold) raises, and so does a missing root.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
     plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", "")
     prefix = re.sub(r"^[a-z]+:(//[^/]*)?", "", base).rstrip("/") + "/"
     relative = F.when(plain.startswith(prefix), F.substring(plain, F.lit(len(prefix) + 1), F.length(plain))).otherwise(plain)
-    rows = found.where(F.col("length") <= max_bytes).select(relative.alias("rel"), "content", F.col("modificationTime").alias("modified"))
-    wanted = rows.where(~_in_folder(F.col("rel"), WALK_SKIP) & ~has_binary_suffix(F.col("rel")))
+    take = lambda rows: rows.where(~_in_folder(F.col("rel"), WALK_SKIP) & ~has_binary_suffix(F.col("rel")))
+    # listed first without content: the largest wanted file bounds what is read, so larger unwanted ones are not
+    largest = take(found.select(relative.alias("rel"), "length")).agg(F.max(F.struct("length", "rel"))).first()[0]
+    if largest and largest["length"] > max_bytes:
+        raise ValueError(f"{largest['rel']} below {root} has {largest['length']} bytes, more than {max_bytes}")
+    wanted = take(found.where(F.col("length") <= (largest["length"] if largest else 0)).select(relative.alias("rel"), "content", F.col("modificationTime").alias("modified")))
     out = wanted.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), "modified")
     hidden = _hidden_files(base) if "://" not in base and not base.startswith("file:") else []
     return out.unionByName(spark.createDataFrame(hidden, out.schema)) if hidden else out
@@ -85,7 +89,7 @@ def _hidden_files(root: str) -> list[tuple]:
     """Context files whose names begin with a dot: Spark's file sources leave these out.
 
     Only such files are read here, on the driver: environment examples, rules and instructions, at most
-    `HIDDEN_MOST` of at most a megabyte.
+    `HIDDEN_MOST`.
     """
     out: list[tuple] = []
     for folder, folders, names in os.walk(root):
@@ -93,7 +97,7 @@ def _hidden_files(root: str) -> list[tuple]:
         for name in sorted(names):
             full = os.path.join(folder, name)
             relative = os.path.relpath(full, root).replace(os.sep, "/")
-            if not re.search(r"(^|/)[._]", relative) or not re.search(HIDDEN_CONTEXT, relative.lower()) or os.path.islink(full) or os.path.getsize(full) > 1 << 20:
+            if not re.search(r"(^|/)[._]", relative) or not re.search(HIDDEN_CONTEXT, relative.lower()) or os.path.islink(full):
                 continue
             if len(out) >= HIDDEN_MOST:
                 raise ValueError(f"more than {HIDDEN_MOST} hidden context files below {root}")

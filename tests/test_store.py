@@ -194,3 +194,13 @@ def test_engine(spark, at, tmp_path):
 def test_validation(bad):
     with pytest.raises(ValueError):
         validate(**bad)
+
+
+def test_large_files_are_read_or_raise(spark, tmp_path):
+    (tmp_path / "big.log").write_text("a" * ((64 << 20) + 1))
+    (tmp_path / ".env.example").write_text("b" * ((1 << 20) + 1))
+    (tmp_path / "small.py").write_text("x = 1")
+    found = S.read_directory(spark, str(tmp_path))
+    assert {r.path: r.n for r in found.selectExpr("path", "length(content) AS n").collect()} == {"big.log": (64 << 20) + 1, ".env.example": (1 << 20) + 1, "small.py": 5}
+    with pytest.raises(ValueError, match="big.log"):
+        S.read_directory(spark, str(tmp_path), max_bytes=1000)
