@@ -1,12 +1,12 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
 
 A passage is a run of at least `RUN` words of an item, of which at most one in ten was changed, dropped or
 added in the document. Such a passage keeps, between its edits, at least one stretch of `SEED` unchanged words
 and at least `HITS` different seeds altogether. So:
 
 1. All seeds (word n-grams) of the items are looked up in every document, and counted over the corpus.
-2. A document and an item are a candidate if they share a rare seed (in at most `rare_share` of the documents
-   that have any); candidates with common seeds only must share at least `HITS`, as every passage does.
+2. A document and an item are a candidate if they share at least `HITS` seeds, as every passage does. Whether a
+   seed is rare (in at most `rare_share` of the documents that have any) decides nothing.
 3. Around each cluster of seeds on nearby diagonals, document and item are aligned (Smith-Waterman with
    traceback, in a band about the diagonals), and the alignment is searched for a run that keeps the rule; the
    next best alignments too, as long as seeds outside the earlier ones are left for a passage.
