@@ -1,10 +1,15 @@
 """Orphan references: ids that point to no chunk, or to one that came only later.
 
-Skew is handled before any join. References are first aggregated per (table, field, referenced id,
-month), which collapses a hot id to a handful of rows on the map side, and only these groups are
-checked against the chunks. Rows are fetched again for the groups found bad: groups with many rows
-(and all groups, while they are few) by a broadcast whose size has been counted, the rest by a shuffle
-join.
+A skew-aware split, whatever the size:
+
+1. References are pre-aggregated per (table, field, referenced id, month), which collapses a hot id to a handful of
+   rows on the map side.
+2. Heavy ids are those with more than one in `HEAVY_IDS` of all references, so there are at most `HEAVY_IDS` of
+   them. What the chunks say of them is broadcast, and their references, sound ones included, are checked where they
+   lie: they are never shuffled.
+3. The groups of all other ids, none of which is large, are checked by a shuffle anti-join against the chunks, and
+   the rows of the bad groups are fetched by a shuffle join on the id.
+4. Both kinds of orphans are united.
 """
 
 from __future__ import annotations
@@ -16,10 +21,8 @@ from quillon.plans.materialize import materialize
 
 #: Characters that count as white space around an id.
 BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000\ufeff"
-#: Most orphan groups that are broadcast (about 120 bytes each).
-BROADCAST_GROUPS = 200_000
-#: A group with this many rows is fetched by broadcast even when there are too many groups for that.
-HEAVY_ROWS = 100_000
+#: Most heavy ids, which are broadcast (about 150 bytes each): those with more than one in so many references.
+HEAVY_IDS = 20_000
 
 
 def normal_id(c: Column) -> Column:
@@ -72,12 +75,22 @@ def references(dependencies: DataFrame, cache: DataFrame, routing: DataFrame) ->
     return every.where("chunk_id IS NOT NULL").withColumn("period", F.coalesce(F.date_format("ref_ts", "yyyy-MM"), F.lit("")))
 
 
-def first_seen(chunks: DataFrame) -> DataFrame:
-    """Per chunk id the time of its earliest row (null if no row has one)."""
-    return chunks.select(normal_id(F.col("id")).alias("seen_id"), F.col("timestamp").cast("timestamp").alias("ts")).where("seen_id IS NOT NULL").groupBy("seen_id").agg(F.min("ts").alias("first_ts"))
+def first_seen(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Per chunk id (of those in `only`, h_id) the time of its earliest row (null if no row has one)."""
+    rows = chunks.select(normal_id(F.col("id")).alias("seen_id"), F.col("timestamp").cast("timestamp").alias("ts")).where("seen_id IS NOT NULL")
+    if only is not None:
+        rows = rows.join(only, F.col("seen_id") == F.col("h_id"), "left_semi")
+    return rows.groupBy("seen_id").agg(F.min("ts").alias("first_ts"))
 
 
-def orphan_references(chunks: DataFrame, dependencies: DataFrame, cache: DataFrame, routing: DataFrame, broadcast_groups: int = BROADCAST_GROUPS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_ids(groups: DataFrame, heavy: int) -> DataFrame:
+    """The ids (h_id) that hold more than one in `heavy` of the references counted in `groups`: at most `heavy` ids."""
+    per_id = groups.groupBy("chunk_id").agg(F.sum("n").alias("n"))
+    total = per_id.agg(F.sum("n").alias("total"))
+    return per_id.join(F.broadcast(total)).where(F.col("n") * heavy > F.col("total")).select(F.col("chunk_id").alias("h_id"))
+
+
+def orphan_references(chunks: DataFrame, dependencies: DataFrame, cache: DataFrame, routing: DataFrame, heavy: int = HEAVY_IDS) -> DataFrame:
     """Distinct orphan references: refTable, refKey, refField, chunkId, month.
 
     A reference is an orphan if its id (trimmed, lower case) has no row in `chunks`, or if it has a time
@@ -85,32 +98,31 @@ def orphan_references(chunks: DataFrame, dependencies: DataFrame, cache: DataFra
     `sourceChunkIds` that isn't a valid JSON array. A missing time on either side is no lateness. `month`
     is that of the referring row; for edges that of the other end's earliest row, else "unknown". If a
     reference was delivered repeatedly with different times, its earliest orphan month is given. Empty
-    tables give no rows; columns beyond those named are ignored.
+    tables give no rows; columns beyond those named are ignored. `heavy` changes no result.
     """
     refs = references(dependencies, cache, routing)
-    groups = refs.groupBy("ref_table", "ref_field", "chunk_id", "period").agg(F.count("*").alias("n"), F.min("ref_ts").alias("min_ts"))
+    groups = materialize(refs.groupBy("ref_table", "ref_field", "chunk_id", "period").agg(F.count("*").alias("n"), F.min("ref_ts").alias("min_ts")))
+    hot = materialize(heavy_ids(groups, heavy))
     seen = first_seen(chunks).withColumn("known", F.lit(True))
-    bad = materialize(
-        groups.join(seen, F.col("chunk_id") == F.col("seen_id"), "left")
-        .where("known IS NULL OR min_ts < first_ts")
-        .select(F.col("ref_table").alias("b_table"), F.col("ref_field").alias("b_field"), F.col("chunk_id").alias("b_id"), F.col("period").alias("b_period"), "n", "first_ts")
-    )
-    matches = (F.col("ref_table") == F.col("b_table")) & (F.col("ref_field") == F.col("b_field")) & (F.col("chunk_id") == F.col("b_id")) & (F.col("period") == F.col("b_period"))
-
-    def fetch(some: DataFrame) -> DataFrame:
-        return refs.join(some, matches).where("first_ts IS NULL OR ref_ts < first_ts")
-
-    if bad.count() <= broadcast_groups:
-        rows = fetch(F.broadcast(bad))
-    else:
-        heavy = bad.where(F.col("n") >= heavy_rows).orderBy(F.desc("n"), "b_table", "b_field", "b_id", "b_period").limit(broadcast_groups)
-        keys = ["b_table", "b_field", "b_id", "b_period"]
-        rows = fetch(F.broadcast(heavy)).unionByName(fetch(bad.join(F.broadcast(heavy.select(keys)), keys, "left_anti").hint("merge")))
-    orphans = rows.groupBy("ref_table", "ref_key", "ref_field", "chunk_id").agg(F.min("ref_ts").alias("ts"), F.min("other_id").alias("other_id"))
+    late = F.col("known").isNull() | (F.col("ref_ts") < F.col("first_ts"))
+    # heavy ids: what is known of them goes to their references
+    told = materialize(hot.join(first_seen(chunks, F.broadcast(hot)).withColumn("known", F.lit(True)), F.col("h_id") == F.col("seen_id"), "left").select("h_id", "known", "first_ts"))
+    heavy_rows = refs.join(F.broadcast(told), F.col("chunk_id") == F.col("h_id")).where(late)
+    # all others: bad groups by an anti-join, then their rows
+    held = F.broadcast(hot)
+    light = groups.join(held, F.col("chunk_id") == F.col("h_id"), "left_anti").join(seen, F.col("chunk_id") == F.col("seen_id"), "left")
+    bad = light.where("known IS NULL OR min_ts < first_ts").select(F.col("ref_table").alias("b_table"), F.col("ref_field").alias("b_field"), F.col("chunk_id").alias("b_id"), F.col("period").alias("b_period"), "known", "first_ts")
+    matches = (F.col("chunk_id") == F.col("b_id")) & (F.col("ref_table") == F.col("b_table")) & (F.col("ref_field") == F.col("b_field")) & (F.col("period") == F.col("b_period"))
+    light_rows = refs.join(held, F.col("chunk_id") == F.col("h_id"), "left_anti").join(bad, matches).where(late)
+    rows = heavy_rows.select(refs.columns).unionByName(light_rows.select(refs.columns))
+    orphans = materialize(rows.groupBy("ref_table", "ref_key", "ref_field", "chunk_id").agg(F.min("ref_ts").alias("ts"), F.min("other_id").alias("other_id")))
+    # edges take the month of their other end, which may be heavy too
     edge = F.col("ref_table") == "dependencies"
-    other = first_seen(chunks).select(F.col("seen_id").alias("o_id"), F.col("first_ts").alias("o_ts"))
-    edges = orphans.where(edge).join(other, F.col("other_id") == F.col("o_id"), "left").withColumn("ts", F.col("o_ts"))
-    return orphans.where(~edge).unionByName(edges.select(orphans.columns)).select(F.col("ref_table").alias("refTable"), F.col("ref_key").alias("refKey"), F.col("ref_field").alias("refField"), F.col("chunk_id").alias("chunkId"), month(F.col("ts")).alias("month"))
+    plain = orphans.where(edge).drop("ts")
+    near = plain.join(F.broadcast(told.select("h_id", F.col("first_ts").alias("ts"))), F.col("other_id") == F.col("h_id"))
+    far = plain.join(held, F.col("other_id") == F.col("h_id"), "left_anti").join(seen.select("seen_id", F.col("first_ts").alias("ts")), F.col("other_id") == F.col("seen_id"), "left")
+    dated = orphans.where(~edge).unionByName(near.select(orphans.columns)).unionByName(far.select(orphans.columns))
+    return dated.select(F.col("ref_table").alias("refTable"), F.col("ref_key").alias("refKey"), F.col("ref_field").alias("refField"), F.col("chunk_id").alias("chunkId"), month(F.col("ts")).alias("month"))
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

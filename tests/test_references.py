@@ -33,10 +33,10 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("limits", [(200_000, 100_000), (0, 1), (0, 100_000)])
-def test_rules_on_every_path(tables, limits):
-    """The broadcast path, the heavy path and the shuffle path give the same."""
-    got = [tuple(r) for r in orphan_references(*tables, *limits).collect()] if limits[0] else [tuple(r) for r in orphan_references(*tables, broadcast_groups=1, heavy_rows=limits[1]).collect()]
+@pytest.mark.parametrize("heavy", [20_000, 4, 1])
+def test_rules_on_every_path(tables, heavy):
+    """With all ids heavy, some or none the same is found."""
+    got = [tuple(r) for r in orphan_references(*tables, heavy).collect()]
     assert len(got) == len(set(got))
     assert set(got) == EXPECTED
 
@@ -69,8 +69,16 @@ def test_hot_key(spark, at):
     chunks = spark.createDataFrame([chunk("a", at(1))], CHUNKS)
     routing = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 7)) chunkId", "'hot' tier", "1.0D score", "'[]' reasons", "'q' taskText", "timestamp'2025-03-01' timestamp")
     none = [spark.createDataFrame([], s) for s in (DEPENDENCIES, COMPRESSION)]
-    for limits in ((200_000, 100_000), (2, 500)):
-        assert orphan_references(chunks, *none, routing, *limits).count() == 3000
+    for heavy in (20_000, 5, 1):
+        assert orphan_references(chunks, *none, routing, heavy).count() == 3000
+
+
+def test_heavy_ids_are_few_and_not_shuffled(spark):
+    from quillon.operators.references import heavy_ids
+
+    groups = spark.createDataFrame([("hot", 40), ("hot", 20), *((f"k{i}", 1) for i in range(40))], "chunk_id string, n long")
+    assert [r.h_id for r in heavy_ids(groups, 4).collect()] == ["hot"]
+    assert heavy_ids(groups, 50).count() <= 50 and heavy_ids(groups.limit(0), 50).count() == 0
 
 
 def test_against_sql(spark):
