@@ -27,12 +27,12 @@ def got(df):
     return {tuple(r) for r in df.collect()}
 
 
-@pytest.mark.parametrize("n,hot", [(1, 1), (3, 1), (10, None), (40, 5), (70, 1)])
-def test_brute_force(spark, n, hot):
+@pytest.mark.parametrize("n,sent", [(1, 1), (3, 1), (10, 250_000), (40, 2), (70, 1)])
+def test_brute_force(spark, n, sent):
     rnd = random.Random(n)
     values = [0.0, 0.25, 0.5, 0.5, 1.0, 1.34, -2.0, float("inf"), float("-inf"), 1e300, None, float("nan")]
     data = [(rnd.choice(["a", "b", "", "ü", None]), rnd.choice([None, *map(str, range(150))]), rnd.choice([*values, rnd.random()])) for _ in range(4000)]
-    assert got(top_n(spark.createDataFrame(data, SCHEMA), "g", "i", "s", n, hot)) == brute(data, n)
+    assert got(top_n(spark.createDataFrame(data, SCHEMA), "g", "i", "s", n, sent)) == brute(data, n)
 
 
 def test_hot_group_survivors_are_enough(spark):
@@ -52,3 +52,21 @@ def test_empty_and_clashing_columns(spark):
 
 def test_only_nulls(spark):
     assert top_n(spark.createDataFrame([(None, None, None), ("a", None, 1.0), ("a", "b", float("nan"))], SCHEMA), "g", "i", "s").count() == 0
+
+
+def test_thresholds_of_all_groups(spark):
+    """Small groups and scores of any size are cut down to little more than n before they are ranked."""
+    data = [(f"g{k % 100}", f"i{k}", 1e9 + k / 7) for k in range(6000)] + [("big", f"b{k}", 1e-9 * k) for k in range(6000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    out = top_n(df, "g", "i", "s", 10)
+    assert got(out) == brute(data, 10)
+    from quillon.llm import topn
+
+    held = []
+    plain = topn._attach
+    topn._attach = lambda keyed, table, heavy, how: (lambda r: (held.append(r.where("at IS NULL OR s >= at").count()) if "at" in r.columns else None, r)[1])(plain(keyed, table, heavy, how))
+    try:
+        top_n(df, "g", "i", "s", 10)
+    finally:
+        topn._attach = plain
+    assert 1010 <= held[0] <= 2000
