@@ -1,24 +1,30 @@
-"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-A passage is a run of at least `RUN` words of an item, of which at most one in ten was changed, dropped or
-added in the document. Such a passage keeps, between its edits, at least one stretch of `SEED` unchanged words
-and at least `HITS` different seeds altogether. So:
+A passage is a run of at least `RUN` words of an item, of which at most one in ten was changed, dropped or added in
+the document. A run of L words with e edits keeps at least L - 5 e - 4 unchanged seeds (word n-grams), and one of 32
+words or more can be halved so that one half still keeps the rule. So every passage holds a stretch of at most
+`SPAN` item words with at most `DRIFT` edits and at least `HITS` seeds. From this:
 
-1. All seeds (word n-grams) of the items are looked up in every document, and counted over the corpus.
-2. A document and an item are a candidate if they share at least `HITS` seeds, as every passage does. Whether a
-   seed is rare (in at most `rare_share` of the documents that have any) decides nothing.
-3. Around each cluster of seeds on nearby diagonals, document and item are aligned (Smith-Waterman with
-   traceback, in a band about the diagonals), and the alignment is searched for a run that keeps the rule; the
-   next best alignments too, as long as seeds outside the earlier ones are left for a passage.
+1. The items' seeds are looked up in every document; only documents with at least `HITS` of them go on, and their
+   seeds are counted over the corpus. A seed is rare if at most `rare_share` of these documents have it.
+2. Rare seeds are joined to the items' seeds: what meets is a candidate. No rare seed is in many documents, so no
+   key of this join is hot.
+3. A passage of common seeds only (a licence, a phrase all items share) meets nothing in that join. Documents are
+   therefore also matched by their common seeds, each document by itself and without emitting pairs; an item counts
+   if `HITS` of its common seeds are found.
+4. Candidates whose seeds don't lie together as above are dropped. For the others document and item are aligned
+   around each cluster of seeds on nearby diagonals (Smith-Waterman with traceback, in a band), and the alignment is
+   searched for a run that keeps the rule; the next best alignments too, as long as seeds outside the earlier ones
+   are left for a passage.
 
-The items are few; they are collected, at most `MAX_ITEMS`, and broadcast with the seeds' counts.
+Items are taken in blocks of about `BLOCK_CHARS` characters, so any number of them can be searched; a block's index
+is what is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +34,12 @@ from pyspark.sql import functions as F
 
 from quillon.plans.materialize import materialize
 
-#: Words of an item that make a passage; one in so many may be edited; words of a seed; seeds in any passage.
-RUN, ONE_IN, SEED, HITS = 16, 10, 5, 4
-#: Most evaluation items, and most of their words, that are broadcast.
-MAX_ITEMS, MAX_WORDS = 100_000, 20_000_000
+#: Words of an item that make a passage; one in so many may be edited; words of a seed.
+RUN, ONE_IN, SEED = 16, 10, 5
+#: What every passage holds: so many seeds, beginning within so many item words, on diagonals no further apart.
+HITS, SPAN, DRIFT = 6, 2 * RUN - 1 - SEED, (2 * RUN - 1) // ONE_IN
+#: Characters of the items of a block.
+BLOCK_CHARS = 3_000_000
 #: Alignment scores, and how far from the seeds' diagonals the alignment may go.
 MATCH, MISMATCH, GAP, BAND = 2, -3, -3, 12
 #: Score of the poorest passage: RUN words, one of them edited.
@@ -45,20 +53,19 @@ def words_of(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """The items' words as numbers and their seeds: hash of the n-gram to (item, position)."""
+    """The items' words as numbers, and their seeds: sorted hashes, each with the (item, position) it stands at."""
 
     def __init__(self, items: list[tuple]):
         self.vocabulary: dict[str, int] = {}
-        self.words: list[np.ndarray] = []
         self.ids = [i for i, _ in items]
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for nr, (_, text) in enumerate(items):
-            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words_of(text or "")], dtype=np.int64)
-            self.words.append(w)
-            for pos, h in enumerate(self.hashes(w)):
-                where[int(h)].append((nr, pos))
-        self.where = dict(where)
-        self.seeds = np.array(sorted(self.where), dtype=np.int64)
+        self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words_of(text or "")], dtype=np.int64) for _, text in items]
+        every = [self.hashes(w) for w in self.words]
+        flat = np.concatenate([np.zeros(0, np.int64), *every])
+        order = np.argsort(flat, kind="stable")
+        self.seeds, self.starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(self.starts, len(flat))
+        self.owner = np.repeat(np.arange(len(every)), [len(h) for h in every])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in every)])[order]
 
     @staticmethod
     def hashes(w: np.ndarray) -> np.ndarray:
@@ -82,14 +89,36 @@ class ItemIndex:
         return np.array([get(x, -1) for x in words_of(text)], dtype=np.int64)
 
     def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the document that begin a seed, and the seeds' hashes."""
+        """Positions in the document that begin a seed, and the seeds' numbers."""
         h = self.hashes(w)
         if not len(h) or not len(self.seeds):
             return np.zeros(0, dtype=np.int64), h[:0]
         at = np.searchsorted(self.seeds, h)
         at[at == len(self.seeds)] = 0
         hit = np.flatnonzero((self.seeds[at] == h) & (h >= 0))
-        return hit, h[hit]
+        return hit, at[hit]
+
+    def pairs(self, positions: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every meeting of a document's seeds with the items': item, document position, item position, seed."""
+        n = self.starts[numbers + 1] - self.starts[numbers]
+        which = np.repeat(self.starts[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
+        return self.owner[which], np.repeat(positions, n), self.place[which], np.repeat(numbers, n)
+
+
+def lie_together(doc_at: np.ndarray, item_at: np.ndarray) -> bool:
+    """Whether `HITS` seeds at different item words begin within `SPAN` of them, on diagonals at most `DRIFT` apart."""
+    if len(item_at) < HITS:
+        return False
+    diagonal = doc_at - item_at
+    order = np.argsort(diagonal, kind="stable")
+    diagonal, item_at = diagonal[order], item_at[order]
+    for low in np.unique(diagonal):
+        a, b = np.searchsorted(diagonal, [low, low + DRIFT + 1])
+        if b - a >= HITS:
+            at = np.unique(item_at[a:b])
+            if len(at) >= HITS and (at[HITS - 1 :] - at[: len(at) - HITS + 1] <= SPAN).any():
+                return True
+    return False
 
 
 def _align(doc: np.ndarray, item: np.ndarray, low: int, high: int, taken: set[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
@@ -211,66 +240,88 @@ def best_passage(doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]]
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run_words: int = RUN, rare_share: float = 0.01) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", run_words: int = RUN, rare_share: float = 0.01, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per leaked item and document: `doc`, `item`, words, edits, itemWord, docWord.
 
     `words` is the length in item words of the longest run that keeps the rule, `edits` its edits; the last
     two columns are where it begins, counted in words from 0. Words are maximal runs of letters and digits in
     lower case. Null and empty texts on either side leak nothing; items of fewer than `run_words` words can't
     leak. Repeated rows of the same `doc` are reported once, with the longest run; equal items each. The rule's
-    guarantees hold for `run_words` of at least 16.
+    guarantees hold for `run_words` of at least 16. `rare_share` and `block_chars` change no result.
     """
     if run_words < RUN:
         raise ValueError(f"runs of fewer than {RUN} words are not guaranteed to be found")
     known = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    held = known.limit(MAX_ITEMS + 1).collect()
-    if len(held) > MAX_ITEMS or sum(len(t) for _, t in held) > 6 * MAX_WORDS:
-        raise ValueError("too many evaluation items to broadcast; call with parts of them")
-    spark = documents.sparkSession
-    index = spark.sparkContext.broadcast(ItemIndex(sorted((tuple(r) for r in held), key=lambda r: (str(r[0]), r[1]))))
-    id_type, item_type = documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    chars = known.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // block_chars))
+    kinds = [f"{documents.schema[doc].dataType.simpleString()}", f"{items.schema[item].dataType.simpleString()}"]
     texts = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    found = None
+    for block in range(blocks):
+        held = [tuple(r) for r in known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
+        part = _leaks_of(texts, sorted(held, key=lambda r: (str(r[0]), r[1])), kinds, run_words, rare_share)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("d", "i").agg(F.max(F.struct("words", (-F.col("edits")).alias("less"), "itemWord", "docWord")).alias("b"))
+    return best.select(F.col("d").alias(doc), F.col("i").alias(item), "b.words", (-F.col("b.less")).alias("edits"), "b.itemWord", "b.docWord")
+
+
+def candidates(texts: DataFrame, index: ItemIndex, shared, kind: str, rare_share: float) -> tuple[DataFrame, np.ndarray]:
+    """Documents (d, t) that may hold a passage with the items their rare seeds meet (near), and the common seeds."""
+    spark = texts.sparkSession
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = index.value
+        ix = shared.value
         for batch in batches:
             out = []
             for d, t in zip(batch["d"], batch["t"]):
-                _, seeds = ix.found(ix.numbers(t))
-                if len(seeds):
+                at, seeds = ix.found(ix.numbers(t))
+                if len(at) >= HITS:
                     out.append((d, t, np.unique(seeds)))
             yield pd.DataFrame(out, columns=["d", "t", "seeds"])
 
-    # only the documents with a seed go on
-    seeded = materialize(texts.mapInPandas(look, f"d {id_type}, t string, seeds array<long>"))
-    total = seeded.count()
-    common_from = max(2, int(rare_share * total)) + 1
-    # at most as many rows as the items have seeds
-    common = {r[0] for r in seeded.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where(F.col("count") >= common_from).collect()}
+    seeded = materialize(texts.mapInPandas(look, f"d {kind}, t string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()))
+    most = max(1, int(rare_share * seeded.count()))
+    seeds = seeded.select("row", F.explode("seeds").alias("seed"))
+    counts = materialize(seeds.groupBy("seed").count())
+    # at most as many rows as the block has seeds
+    common = np.array(sorted(r[0] for r in counts.where(F.col("count") > most).select("seed").collect()), dtype=np.int64)
+    owned = pd.DataFrame({"seed": np.repeat(np.arange(len(index.seeds)), np.diff(index.starts)), "item": index.owner}).drop_duplicates()
+    items = spark.createDataFrame(owned, "seed long, item long")
+    rare = counts.where(F.col("count") <= most).select("seed")
+    near = seeds.join(rare, "seed").join(items, "seed").groupBy("row").agg(F.collect_set("item").alias("near"))
+    return seeded.select("row", "d", "t").join(near, "row", "left").drop("row"), common
+
+
+def _leaks_of(texts: DataFrame, items: list[tuple], kinds: list[str], run_words: int, rare_share: float) -> DataFrame:
+    spark = texts.sparkSession
+    index = ItemIndex(items)
+    shared = spark.sparkContext.broadcast(index)
+    told, common = candidates(texts, index, shared, kinds[0], rare_share)
     commons = spark.sparkContext.broadcast(common)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, frequent = index.value, commons.value
+        ix, frequent = shared.value, commons.value
         for batch in batches:
             out = []
-            for d, t in zip(batch["d"], batch["t"]):
+            for d, t, near in zip(batch["d"], batch["t"], batch["near"]):
                 w = ix.numbers(t)
-                pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                kinds: dict[int, set[int]] = defaultdict(set)
-                rare: set[int] = set()
-                for pos, h in zip(*(x.tolist() for x in ix.found(w))):
-                    for nr, at in ix.where[h]:
-                        pairs[nr].append((pos, at))
-                        kinds[nr].add(at)
-                        if h not in frequent:
-                            rare.add(nr)
-                for nr, near in pairs.items():
-                    if (nr in rare or len(kinds[nr]) >= HITS) and len(kinds[nr]) >= HITS and len(ix.words[nr]) >= run_words:
-                        words, edits, i, j = best_passage(w, ix.words[nr], near)
+                at, seeds = ix.found(w)
+                met = {} if near is None else dict.fromkeys(int(i) for i in near)
+                # items by common seeds alone
+                plain = np.isin(seeds, frequent)
+                owner, _, place, _ = ix.pairs(at[plain], seeds[plain])
+                for i, n in zip(*np.unique(np.unique(np.stack([owner, place]), axis=1)[0], return_counts=True)):
+                    if n >= HITS:
+                        met[int(i)] = None
+                if not met:
+                    continue
+                owner, doc_at, item_at, _ = ix.pairs(at, seeds)
+                for i in met:
+                    mine = owner == i
+                    if len(ix.words[i]) >= run_words and lie_together(doc_at[mine], item_at[mine]):
+                        words, edits, a, b = best_passage(w, ix.words[i], list(zip(doc_at[mine].tolist(), item_at[mine].tolist())))
                         if words >= run_words:
-                            out.append((d, ix.ids[nr], words, edits, i, j))
+                            out.append((d, ix.ids[i], words, edits, a, b))
             yield pd.DataFrame(out, columns=["d", "i", "words", "edits", "itemWord", "docWord"])
 
-    found = seeded.select("d", "t").mapInPandas(verify, f"d {id_type}, i {item_type}, words int, edits int, itemWord int, docWord int")
-    best = found.groupBy("d", "i").agg(F.max(F.struct("words", (-F.col("edits")).alias("less"), "itemWord", "docWord")).alias("b"))
-    return best.select(F.col("d").alias(doc), F.col("i").alias(item), "b.words", (-F.col("b.less")).alias("edits"), "b.itemWord", "b.docWord")
+    return told.mapInPandas(verify, f"d {kinds[0]}, i {kinds[1]}, words int, edits int, itemWord int, docWord int")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm.leakage import HITS, ItemIndex, best_passage, leaks
+from quillon.llm.leakage import ItemIndex, best_passage, candidates, leaks, lie_together
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega ant bee cat dog eel fox gnu hen ibis jay koi lark mole newt owl pig quail rat seal toad vole wasp yak zebra".split()
 
@@ -51,9 +51,11 @@ def test_brute_force():
         doc = sentence(rnd, rnd.randint(0, 40)) + edited(rnd, item[at : at + n], rnd.randint(0, 1 + n // 9)) + sentence(rnd, rnd.randint(0, 40))
         index = ItemIndex([(1, " ".join(item))])
         w = index.numbers(" ".join(doc))
-        pairs = [(p, q) for p, h in zip(*(x.tolist() for x in index.found(w))) for _, q in index.where[h]]
-        got = len({q for _, q in pairs}) >= HITS and best_passage(w, index.words[0], pairs)[0] >= 16
+        _, doc_at, item_at, _ = index.pairs(*index.found(w))
+        near = lie_together(doc_at, item_at)
+        got = near and best_passage(w, index.words[0], list(zip(doc_at.tolist(), item_at.tolist())))[0] >= 16
         want = brute(doc, item)
+        assert near or not want
         found += want
         wrong += got != want
     # where edits stand so close together that the alignment may choose another way
@@ -109,5 +111,26 @@ def test_passage_beside_a_better_alignment():
     doc = [f"x{k}" if k < 60 and k % 5 == 4 or 60 <= k < 90 else w for k, w in enumerate(item)]
     index = ItemIndex([(1, " ".join(item))])
     w = index.numbers(" ".join(doc))
-    pairs = [(pos, at) for pos, h in zip(*(x.tolist() for x in index.found(w))) for _, at in index.where[h]]
+    _, doc_at, item_at, _ = index.pairs(*index.found(w))
+    pairs = list(zip(doc_at.tolist(), item_at.tolist()))
     assert tuple(best_passage(w, index.words[0], pairs)) == (22, 2, 90, 90)
+
+
+def test_blocks_and_shares_change_nothing(data):
+    docs, items = data
+    want = {tuple(r) for r in leaks(docs, items).collect()}
+    for how in ({"block_chars": 300}, {"rare_share": 1.0}, {"rare_share": 0.0}):
+        assert {tuple(r) for r in leaks(docs, items, **how).collect()} == want
+
+
+def test_rare_seeds_make_the_candidates(spark):
+    """A phrase of twelve words that all items and most documents share makes no candidate; a leaked passage does."""
+    rnd = random.Random(3)
+    phrase = " ".join(sentence(rnd, 12))
+    items = [(i, " ".join(sentence(rnd, 30)) + " " + phrase) for i in range(20)]
+    docs = [(i, phrase + " " + " ".join(sentence(rnd, 30)) + (" " + " ".join(items[7][1].split()[2:24]) if i == 5 else "")) for i in range(100)]
+    df = spark.createDataFrame(docs, "d long, t string")
+    index = ItemIndex(items)
+    told, common = candidates(df, index, spark.sparkContext.broadcast(index), "bigint", 0.05)
+    assert len(common) == 8 and {(r.d, tuple(r.near)) for r in told.where("near IS NOT NULL").collect()} == {(5, (7,))}
+    assert [tuple(r)[:2] for r in leaks(df, spark.createDataFrame(items, "item_id long, text string"), "d", "t").collect()] == [(5, 7)]
