@@ -1,12 +1,15 @@
 """Telling hand-written source from generated, minified, vendored and data files with a random forest.
 
-Labels come from notices in the leading comment ("generated by ...; do not edit", a third party's banner), from
-names that are notices themselves (lock files, snapshots, `.min.js`, folders of generated code) and, as embedded data carries no notice,
-from bodies that are one literal. The features never see a leading comment that holds a notice: they are
-measured on the text without it (compression ratio, token entropy, identifier lengths, comment density, line
-shapes) and on the path. A first forest, taught with every unlabelled file as hand-written, sorts these: what it
-finds machine-made is taught as that to the second forest, what is doubtful isn't taught. The second judges
-all files.
+Labels come from notices: in the leading comment ("generated by ...; do not edit", a third party's banner), in the
+name (lock files and snapshots, `.min.js`), and, as embedded data carries neither, from bodies that are one literal.
+Whatever gives a label is hidden from the features: they are measured on the text without its notice, and neither
+the names nor the share of literals are among them. Features are compression ratio, token entropy, identifier
+lengths, comment density, the shapes of tokens and lines, and the folders of the path.
+
+A first forest, taught with every unlabelled file as hand-written, sorts these: what it finds machine-made is taught
+as that to the second forest, what is doubtful isn't taught. The second judges all files, labelled ones too; a label
+decides nothing. There is one exception: the body of a third party's copy is ordinary hand-written code, so where
+only its banner tells, no feature can. A file with a third party's banner is found by its banner (`by` says so).
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ DOUBT = 0.15
 #: First forest's probability from which it is taught as machine-made.
 SURE = 0.5
 TREES, DEPTH = 40, 9
+#: Characters from which a token is long (hashes, encoded data).
+LONG_TOKEN = 24
 
 # --- fixed values: notices -----------------------------------------------------------------------------
 GENERATED = re.compile(
@@ -58,21 +63,24 @@ CODE_NAME = re.compile(r"(?i)\.(?:js|ts|jsx|tsx|mjs|cjs|py|go|rs|java|c|h|cc|cpp
 _SPLIT_MARK = re.compile(r"\A(?:\[split from \d+ sub-chunks\] |\[…\]\s*\n|\[\.\.\.\]\s*\n)")
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|include|define|if|endif|pragma)|/\*|\*|--|;;|<!--|\"\"\"|''')")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\S")
-_COMMENT = re.compile(r"(?m)//[^\n]*|^\s*#[^\n]*|/\*.{0,20000}?\*/", re.S)
+_COMMENT_START = re.compile(r"(?m)//|^[^\S\n]*#|/\*")
 _LITERAL_BODY = re.compile(r"""(?:0x[0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\s,:\[\]{}()&])+""")
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 
 #: Sums per file, added up over its chunks.
-SUMS = ["rows", "chars", "packed", "tokens", "distinct", "entropy", "idents", "ident_chars", "short_idents", "comments", "lines", "shapes", "digits", "blanks", "signs", "numbers", "literal"]
-FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "literal_share", "size", "vendor_dir", "generated_dir", "built_dir", "data_dir", "generated_name", "minified_name", "lock_name", "code_name"]
+SUMS = ["rows", "chars", "packed", "tokens", "distinct", "entropy", "idents", "ident_chars", "short_idents", "comments", "lines", "shapes", "digits", "blanks", "signs", "numbers", "literal", "long_chars"]
+FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "long_share", "vendor_dir", "generated_dir", "built_dir", "data_dir", "generated_name"]
+#: What gives labels besides the notice of a text. None of it is a feature.
+LABEL_GIVING = ["lock_name", "minified_name", "code_name", "literal_share", "size"]
 
 
 def _header(text: str) -> tuple[list[str], str]:
-    """Leading comment lines and the rest."""
-    lines = text.split("\n")
-    n, inside = 0, False
-    while n < len(lines) and n < 40:
-        bare = lines[n].strip()
+    """Leading comment lines, however many, and the rest."""
+    at, inside, head = 0, False, []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        bare = text[at:end].strip()
         if inside:
             inside = "*/" not in bare
         elif bare.startswith("/*"):
@@ -81,8 +89,9 @@ def _header(text: str) -> tuple[list[str], str]:
                 break
         elif bare and not _COMMENT_LINE.match(bare):
             break
-        n += 1
-    return lines[:n], "\n".join(lines[n:])
+        head.append(text[at:end])
+        at = end + 1
+    return head, text[at:]
 
 
 def notice(text: str, first: bool) -> tuple[str | None, str]:
@@ -105,6 +114,23 @@ def notice(text: str, first: bool) -> tuple[str | None, str]:
     return kind, cut
 
 
+def comment_chars(text: str) -> int:
+    """Characters within comments; one that is never closed has none."""
+    total = at = 0
+    closed = True
+    while m := _COMMENT_START.search(text, at):
+        if m[0] != "/*":
+            end = text.find("\n", m.end())
+            end = len(text) if end < 0 else end
+        else:
+            end = text.find("*/", m.end()) + 2 if closed else 1
+            if end == 1:
+                closed, at = False, m.end()
+                continue
+        total, at = total + end - m.start(), end
+    return total
+
+
 def measure(text: str) -> dict[str, float]:
     tokens = _TOKEN.findall(text)
     counts = Counter(tokens)
@@ -120,8 +146,8 @@ def measure(text: str) -> dict[str, float]:
     literal = max((m.end() - m.start() for m in _LITERAL_BODY.finditer(text)), default=0) if numbers * 3 > n or '"' in text else 0
     return {
         "rows": 1, "chars": len(text), "packed": len(zlib.compress(raw, 1)) * len(text) / max(1, len(raw)), "tokens": n, "distinct": len(counts), "entropy": entropy * n, "idents": ident_n, "ident_chars": ident_chars,
-        "short_idents": sum(c for t, c in idents if len(t) <= 2), "comments": sum(len(m[0]) for m in _COMMENT.finditer(text)), "lines": len(lines), "shapes": len({_SHAPE.sub("a", x.strip()) for x in lines}),
-        "digits": digits, "blanks": len(text) - sum(len(t) * c for t, c in counts.items()), "signs": sum(c for t, c in counts.items() if len(t) == 1 and not t.isalnum()), "numbers": numbers, "literal": literal,
+        "short_idents": sum(c for t, c in idents if len(t) <= 2), "comments": comment_chars(text), "lines": len(lines), "shapes": len({_SHAPE.sub("a", x.strip()) for x in lines}),
+        "digits": digits, "blanks": len(text) - sum(len(t) * c for t, c in counts.items()), "signs": sum(c for t, c in counts.items() if len(t) == 1 and not t.isalnum()), "numbers": numbers, "literal": literal, "long_chars": sum(len(t) * c for t, c in counts.items() if len(t) >= LONG_TOKEN),
     }
 
 
@@ -159,23 +185,25 @@ def file_features(chunks: DataFrame, path: str = "path", text: str = "text", sou
     name = {k: F.coalesce(flat_path.rlike(p.pattern), F.lit(False)).cast("double") for k, p in (("generated_name", GENERATED_NAME), ("minified_name", MINIFIED_NAME), ("lock_name", LOCK_NAME), ("code_name", CODE_NAME))}
     return sums.select(
         "path", "notice", per("packed", "chars").alias("ratio"), per("entropy", "tokens").alias("token_entropy"), per("distinct", "tokens").alias("distinct_share"), per("ident_chars", "idents").alias("ident_length"), per("short_idents", "idents").alias("short_share"), per("comments", "chars").alias("comment_density"),
-        F.log1p(per("chars", "lines")).alias("line_length"), F.log1p("longest").alias("longest"), per("digits", "chars").alias("digit_share"), per("blanks", "chars").alias("blank_share"), per("signs", "tokens").alias("sign_share"), per("numbers", "tokens").alias("number_share"), per("shapes", "lines").alias("shape_share"), per("literal", "chars").alias("literal_share"),
+        F.log1p(per("chars", "lines")).alias("line_length"), F.log1p("longest").alias("longest"), per("digits", "chars").alias("digit_share"), per("blanks", "chars").alias("blank_share"), per("signs", "tokens").alias("sign_share"), per("numbers", "tokens").alias("number_share"), per("shapes", "lines").alias("shape_share"), per("literal", "chars").alias("literal_share"), per("long_chars", "chars").alias("long_share"),
         F.log1p("chars").alias("size"), within(VENDOR_DIRS).alias("vendor_dir"), within(GENERATED_DIRS).alias("generated_dir"), within(BUILT_DIRS).alias("built_dir"), within(DATA_DIRS).alias("data_dir"), *(c.alias(k) for k, c in name.items()),
     )
 
 
 def labels() -> F.Column:
-    """The kind a file is labelled with: by notice, by a name that is one, or by a body that is one literal."""
-    return F.coalesce(F.col("notice"), F.when((F.col("lock_name") > 0) | (F.col("generated_dir") * F.col("code_name") > 0), "generated"), F.when(F.col("minified_name") > 0, "minified"), F.when((F.col("literal_share") > 0.7) & (F.col("size") > math.log1p(800)) & (F.col("code_name") > 0), "data"))
+    """The kind a file is labelled with: by its notice, by a name that is one, or by a body that is one literal."""
+    data = (F.col("literal_share") > 0.7) & (F.col("size") > math.log1p(800)) & (F.col("code_name") > 0)
+    return F.coalesce(F.col("notice"), F.when(F.col("lock_name") > 0, "generated"), F.when(F.col("minified_name") > 0, "minified"), F.when(data, "data"))
 
 
 def judge_files(chunks: DataFrame, path: str = "path", text: str = "text", source: str = "source", metadata: str = "metadata", teach_files: int = TEACH_FILES, threshold: float = 0.5, seed: int = 7) -> DataFrame:
-    """Every stored file's judgement: `path`, label (kind of notice, or null), probability, machine_made.
+    """Every stored file's judgement: `path`, label (kind of notice, or null), probability, machine_made, by.
 
-    Chunks without a path or text, and those not from files, are left out. `machine_made` is true for files
-    with a label and for those the forest gives at least `threshold`. Without at least one labelled and one
-    unlabelled file there is nothing to learn from, and the labels alone decide. Repeated rows of a chunk
-    weigh twice in the shares, which stay shares.
+    Chunks without a path or text, and those not from files, are left out. `machine_made` is true for files the
+    forest gives at least `threshold` (`by` is "forest") and for those with a third party's banner ("banner" where
+    the forest didn't find them). Without at least one labelled and one unlabelled file there is nothing to learn
+    from, and the labels are all that is known ("label"). Repeated rows of a chunk weigh twice in the shares, which
+    stay shares.
     """
     files = materialize(file_features(chunks, path, text, source, metadata).withColumn("label_kind", labels()))
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(files).withColumn("label", F.col("label_kind").isNotNull().cast("double"))
@@ -183,11 +211,12 @@ def judge_files(chunks: DataFrame, path: str = "path", text: str = "text", sourc
     marked, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     shown = [F.col("path").alias(path), F.col("label_kind").alias("label")]
     if not 0 < marked < total:
-        return files.select(*shown, F.col("label_kind").isNotNull().cast("double").alias("probability"), F.col("label_kind").isNotNull().alias("machine_made"))
+        told = F.col("label_kind").isNotNull()
+        return files.select(*shown, told.cast("double").alias("probability"), told.alias("machine_made"), F.when(told, "label").alias("by"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8, maxBins=64, minInstancesPerNode=2)
     chance = vector_to_array("probability")[1]
     first = forest.fit(sample).transform(sample)
     sure = first.where((F.col("label") > 0) | (chance < DOUBT) | (chance >= SURE)).select("features", F.when(chance >= SURE, 1.0).otherwise(F.col("label")).alias("label"))
     final = forest.fit(materialize(sure))
-    judged = final.transform(table)
-    return judged.select(*shown, F.round(chance, 6).alias("probability"), (F.col("label_kind").isNotNull() | (chance >= threshold)).alias("machine_made"))
+    judged = final.transform(table).withColumn("by", F.when(chance >= threshold, "forest").when(F.col("notice") == "vendored", "banner"))
+    return judged.select(*shown, F.round(chance, 6).alias("probability"), F.col("by").isNotNull().alias("machine_made"), "by")
