@@ -1,10 +1,13 @@
 """Credentials in source code, configuration and chat: finding and redacting them.
 
-1. A keyword automaton (Aho-Corasick, ASCII case folded) picks the lines worth looking at.
-2. On those lines, issuer formats, logins in URLs, connection strings, header and command-line logins,
-   assignments to credential names and the usual phrases of chat are matched by regular expressions.
-3. Each value is validated: JWT headers and encoded logins are decoded, key bodies and issuer tokens are
-   checked for length and alphabet, and placeholders, masks, references, paths and plain words are dropped.
+1. A keyword automaton (Aho-Corasick, ASCII case folded) picks the lines worth looking at; every rule below asks for
+   one of its keywords.
+2. On those lines, issuer formats, logins in URLs, connection strings, header and command-line logins, assignments
+   to credential names, login calls and what is said of passwords in prose are matched by regular expressions.
+3. Each value is validated. Structure decides: heads of web tokens and encoded logins are decoded, access key ids
+   must be base32, key bodies and issuer tokens have their length and alphabet, and placeholders, masks, references,
+   paths and plain words are dropped. Checksums that issuers put into their tokens are computed and reported (column
+   `proof`); a token whose checksum fails is still redacted, as a mistyped or cut one gives away most of a secret.
 4. Redaction replaces letters and digits of the value alone, each by one of its kind (A, a, 0), so length,
    quotes, escapes, separators and padding stay. Redacting twice changes nothing.
 """
@@ -15,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,14 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: usual names of accounts that people share logins of -------------------------------------
+USERS = "root admin administrator user guest ops deploy deployer postgres mysql ubuntu oracle sa svc service backup demo test dev build jenkins pi ec2-user vagrant operator support".split()
 # --- fixed values: keywords of the automaton -----------------------------------------------------------
 KEYWORDS = [
-    "pass", "pwd", "kennwort", "contrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "_key", "key", "credential", "auth", "bearer", "basic ", "private key", "://", "sig=", "login", "account",
-    "akia", "asia", "pw", "mot de", "--", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "aiza", "sk_live_", "rk_live_", "sk_test_", "rk_test_", "eyj", "npm_", "sg.", "root:", " -p", " -u ", "dsn", "license",
+    "pass", "pwd", "kennwort", "contrase", "clave", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "_key", "key", "cred", "auth", "bearer", "basic ", "private key", "://", "sig=", "login", "account", "connect", "signin", "sign_in", "create_user", "createuser", "bind(",
+    "akia", "asia", "pw", "mot de", "mdp", "--", " -p", " -u ", "dsn", "license", "aws", "redis-cli",
+    "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "glrt-", "gldt-", "glptt-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "xapp-", "hooks.slack", "api/webhooks", "aiza", "ya29.", "gocspx-", "sk_live_", "rk_live_", "sk_test_", "rk_test_", "whsec_", "eyj", "npm_", "sg.", "sk-", "hf_", "dckr_pat_", "pypi-", "dop_v1_", "shpat_", "shpss_", "sq0atp-", "sq0csp-", "dapi", "hvs.", "lin_api_", "ntn_", "glsa_", "nfp_", "pmak-", "nrak-", "age-secret-key-", "atatt3", ":aa",
+    *(f"{user}:" for user in USERS),
 ]
 # --- fixed values: issuer formats ----------------------------------------------------------------------
 ISSUERS = [
-    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"(?:AKIA|ASIA)[A-Z2-7]{16}",
     r"gh[opusr]_[A-Za-z0-9]{36}",
     r"github_pat_[A-Za-z0-9_]{60,}",
     r"glpat-[A-Za-z0-9_-]{20}",
@@ -38,10 +46,14 @@ ISSUERS = [
     r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     r"npm_[A-Za-z0-9]{36}",
     r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{30,}",
+    r"sk-(?:proj-|ant-[a-z0-9]+-|or-v1-)?[A-Za-z0-9_-]{32,}", r"hf_[A-Za-z]{34}", r"dckr_pat_[A-Za-z0-9_-]{27}", r"xapp-\d-[A-Z0-9]+-\d+-[a-f0-9]{32,}", r"gl(?:rt|dt|ptt)-[A-Za-z0-9_-]{20,}", r"ya29\.[A-Za-z0-9_-]{30,}", r"GOCSPX-[A-Za-z0-9_-]{28}", r"whsec_[A-Za-z0-9+/=]{24,}", r"pypi-AgE[A-Za-z0-9_-]{50,}", r"dop_v1_[a-f0-9]{64}",
+    r"shp(?:at|ss|ca|pa)_[a-fA-F0-9]{32}", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}", r"dapi[a-f0-9]{32}(?:-\d)?", r"hvs\.[A-Za-z0-9_-]{24,}", r"lin_api_[A-Za-z0-9]{40}", r"ntn_[A-Za-z0-9]{40,}", r"glsa_[A-Za-z0-9]{32}_[a-f0-9]{8}", r"nfp_[A-Za-z0-9]{36}", r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}", r"NRAK-[A-Z0-9]{27}", r"AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}", r"ATATT3[A-Za-z0-9_=-]{50,}", r"\d{8,10}:AA[A-Za-z0-9_-]{33}",
     r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}",
 ]
 #: How an issuer's token begins, for tokens written in two parts.
-ISSUER_START = re.compile(r"(?:AKIA|ASIA|gh[opusr]_|github_pat_|glpat-|xox[abprs]-|AIza|[sr]k_(?:live|test)_|npm_|eyJ)")
+ISSUER_START = re.compile(r"(?:AKIA|ASIA|gh[opusr]_|github_pat_|glpat-|xox[abprs]-|AIza|[sr]k_(?:live|test)_|npm_|eyJ|sk-|hf_|dckr_pat_|xapp-|glrt-|ya29\.|GOCSPX-|whsec_|pypi-|dop_v1_|shp[a-z]{2}_|glsa_|hvs\.)")
+#: Addresses that are secrets themselves.
+HOOK = re.compile(r"https://(?:hooks\.slack\.com/(?:services|workflows)/|(?:\w+\.)?discord(?:app)?\.com/api/webhooks/\d+/|[\w-]+\.webhook\.office\.com/webhookb2/)(?P<v>[\w/@.-]{20,})")
 ISSUER = re.compile(r"(?<![A-Za-z0-9_/+=-])(?:" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_-])")
 # --- fixed values: names -------------------------------------------------------------------------------
 #: Names (letters and digits in lower case) of values that are passwords or phrases.
@@ -68,18 +80,27 @@ _PARAM = re.compile(r"(?i)[?&](?:api_?key|access_?key|access_?token|auth_?token|
 _HEADER = re.compile(r"(?i)(?:\b(?:proxy-)?authorization|\b(?:x-)?api-key|\bx-auth-token|\bprivate-token|\bx-[a-z]+-token)[\"'`]?\s*[:=]\s*[\"'`]?(?:(?:bearer|token|basic|apikey)\s+)?(?P<v>[A-Za-z0-9_+/=.~\-]{12,})")
 _ENCODED = re.compile(r"\b[Bb]asic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 _BEARER = re.compile(r"\b[Bb]earer\s+(?P<v>[A-Za-z0-9_+/.~=\-]{16,})")
-_SHELL = re.compile(r"(?:\bsshpass\s+-p\s*|\blogin\s+(?:.{0,200}\s)?-p\s+|\bmysql\b.{0,200}\s-p|\s--?(?:password|passwd|passphrase|token|api-key|secret)[ =])[\"'`]?(?P<v>[^\s\"'`]+)")
+#: Commands, and the flag behind them that takes a password.
+_COMMANDS = [(re.compile(p), re.compile(f)) for p, f in ((r"\bsshpass\b", r"\s-p\s*[\"'`]?(?P<v>[^\s\"'`]+)"), (r"\blogin\b", r"\s-p\s+[\"'`]?(?P<v>[^\s\"'`]+)"), (r"\bmysql(?:dump|admin)?\b", r"\s-p[\"'`]?(?P<v>[^\s\"'`]+)"), (r"\b(?:curl|wget|http)\b", r"\s(?:-u|--user)\s+[\"'`]?[^\s:\"'`]+:(?P<v>[^\s\"'`]+)"), (r"\bredis-cli\b", r"\s-a\s+[\"'`]?(?P<v>[^\s\"'`]+)"))]
+#: A variable set before a command, and an entry of an XML configuration.
+_ENV = re.compile(r"(?:^|\s)(?P<name>[A-Z][A-Z0-9_]{2,})=(?P<v>[^\s\"'`]+)(?=\s+\S)")
+_XML = re.compile(r"\b(?:key|name)=\"(?P<name>[\w.:\-]+)\"\s+value=\"(?P<v>[^\"\n]+)\"")
+_LONG_FLAG = re.compile(r"\s--?(?:password|passwd|passphrase|token|api-key|secret)[ =][\"'`]?(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(r"\s--?(?P<name>[A-Za-z][\w.\-]*)[ =](?:(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)|(?P<w>[^\s\"']+))")
 _SAID = re.compile(r"(?i)(?<![\w-])(?:pw|pwd|pass|password|passwd|passphrase|passwort|kennwort|contraseña|mot de passe|api key|token|secret)\s*(?:\bis\b|\bwas\b|\bist\b|\bes\b|\best\b)\s*:?\s*[`\"']?(?P<v>[^\s`\"']{6,})")
 _MANIFEST = re.compile(r"(?m)^(?P<pad>[ \t]*)kind:[ \t]*[\"']?Secret[\"']?[ \t]*\r?$")
 _ENTRY = re.compile(r"(?m)^[ \t]+[\w.\-]+:[ \t]*[\"']?(?P<v>[A-Za-z0-9+/]{8,}={0,2})[\"']?[ \t]*\r?$")
-_CURL = re.compile(r"\bcurl\b.{0,400}\s(?:-u|--user)\s+[\"'`]?[^\s:\"'`]+:(?P<v>[^\s\"'`]+)")
 _NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>\S+)")
 _NPMRC = re.compile(r":_(?:authToken|password|auth)\s*=\s*[\"']?(?P<v>[^\s\"']+)")
-_SET = re.compile(r"\b[Ss]et\s+[`\"']?" + _NAME + r"[`\"']?\s+to\s+[`\"']?(?P<v>\S.*?)[`\"']?\s+and\s+(?:retry|restart|try|reload|rerun|run)\b")
-_USES = re.compile(r"\b(?:account|user|login|box|node|server|admin)\b[^:=]{0,40}?\b(?:uses|has|is|takes|with)\s+(?:password\s+)?[`\"']?(?P<v>[^\s`\"']{8,})[`\"']?\s+(?:until|for now|for the|till|as|on)\b")
-_SLASH = re.compile(r"\b(?:login|credentials?|account|access)\b[^:]{0,60}:\s*[\w.\-@]+\s*/\s*[`\"']?(?P<v>[^\s`\"'/]{6,})")
-_ROOT = re.compile(r"(?:^|[\s#/`\"'(])(?:root|admin|ops|deploy|postgres|ubuntu|oracle|sa):(?P<v>[^\s:/`\"')]{6,})[`\"']?\s+(?:works|is|on|for|still)\b")
+#: Words by which prose speaks of a credential, what may stand right before its value, and account names with one.
+_CUE = re.compile(r"(?i)^[\"'`(*]*(?:pw|pwd|pass|pass(?:word|phrase|code|wd)s?|passwort|kennwort|contraseña|clave|mdp|passe|logins?|accounts?|creds?|credentials?|secrets?|tokens?|(?:api[_-]?)?keys?|root|admin)[\"'`:,)*]*$|^[\w.\-]*(?:password|passphrase|secret|token|pass|pwd|key)[\"'`:,)*]*$")
+_LINK = re.compile(r"(?i)^(?:is|was|are|be|uses?|has|to|with|takes?|as|now|ist|lautet|es|est|son|:|=|/|->|=>|→|it's|its)$|.*[:=/]$")
+_ACCOUNT = re.compile(r"(?i)^[\"'`(]*(?:" + "|".join(USERS) + r"):(?P<v>[^\s:/\"'`)]{8,})")
+#: Calls that take a login: name and password as string literals.
+_LOGIN_CALL = re.compile(r"(?i)\b\w*(?:connect|log_?in|authenticate|sign_?in|basic_?auth|credentials?|set_?password|create_?user|add_?user|bind)\w*\s*\((?P<args>[^()\n]*)\)")
+_LITERAL = re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.)*)(?P=q)""")
+_AWS_SECRET = re.compile(r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])")
+_ACCOUNT_KEY = re.compile(r"(?i)\b(?:AccountKey|SharedAccessKey|SharedSecretValue)=(?P<v>[A-Za-z0-9+/]{32,}={0,2})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,2}PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,2}PRIVATE KEY(?: BLOCK)?-----")
 _CONFIG_FILE = re.compile(r"(?i)(?:^|[/\\])(?:\.env[^/\\]*|\.?npmrc|\.?netrc|dockerfile|[^/\\]*\.(?:env|ya?ml|json|toml|ini|cfg|conf|properties|sh|bash|zsh|md|markdown|txt|rst|tf|tfvars|log))$")
@@ -96,7 +117,7 @@ def _placeholder(v: str) -> bool:
 
 def _password(v: str) -> bool:
     """A literal password: no placeholder, no expression, path, word or sentence."""
-    if not 6 <= len(v) <= 200 or re.search(r"\s", v) or _placeholder(v) or _HASH.match(v) or "://" in v:
+    if len(v) < 6 or re.search(r"\s", v) or _placeholder(v) or _HASH.match(v) or "://" in v:
         return False
     if re.search(r"[(){}\[\]<>]|\w\.\w+\(|;$|,$", v) or v[0] in "/.~" or re.fullmatch(r"[\w-]+(?:\.[A-Za-z_]\w*)+", v):
         return False
@@ -109,7 +130,7 @@ def _key(v: str) -> bool:
     """A literal key or token: long enough and mixed, or of an issuer's format."""
     if ISSUER.fullmatch(v):
         return not _placeholder(v) and _valid_issuer(v)
-    if not 12 <= len(v) <= 4000 or re.search(r"\s", v) or _placeholder(v) or _HASH.match(v) or "://" in v or v[0] in "/.~":
+    if len(v) < 12 or re.search(r"\s", v) or _placeholder(v) or _HASH.match(v) or "://" in v or v[0] in "/.~":
         return False
     if re.search(r"[(){}\[\]<>;,\"'`]", v) or re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", v):
         return False
@@ -126,6 +147,74 @@ def _valid_issuer(v: str) -> bool:
     return "EXAMPLE" not in v and len(set(v)) >= 8
 
 
+def _spoken(v: str) -> bool:
+    """A value that prose can only mean as a password: no word, name, number, path, address or mention of one."""
+    if len(v) < 8 or not _password(v) or re.search(r"[/\\]\w+\.\w|^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$|^#|^\d[\d.:-]*\w{0,3}$", v):
+        return False
+    special = bool(re.search(r"[^A-Za-z0-9_.\-]", v))
+    if re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)*\d{0,3}|[A-Z][a-z]+(?:[A-Z][a-z]+)*\d{0,3}|[0-9a-f]+|[A-Za-z]+(?:[-_.][A-Za-z0-9]+)+|[A-Za-z]\w*_\w*", v):
+        return False
+    return special and _kinds(v) >= 3 or _kinds(v) >= 3 and len(v) >= 10
+
+
+def _in_prose(line: str) -> Iterator[tuple[int, int]]:
+    """Values that are said to be a password: a cue earlier in the sentence and a link right before, or user:value."""
+    cue, last = -1, ""
+    for n, m in enumerate(re.finditer(r"\S+", line)):
+        word = m[0]
+        pair = _ACCOUNT.match(word)
+        if pair:
+            v = pair["v"].rstrip(".,;!?") if pair["v"][-1:] in ".,;" else pair["v"]
+            if _spoken(v) and (re.search(r"[^A-Za-z0-9]", v) or len(v) >= 12):
+                yield m.start() + pair.start("v"), m.start() + pair.start("v") + len(v)
+        elif cue >= 0 and (_LINK.match(last) or n - cue == 1):
+            bare = word[2:].rstrip(".,;")[:-2] if word.startswith("**") and word.rstrip(".,;").endswith("**") else word
+            bare = bare.lstrip("\"'`(").rstrip(".,;").rstrip("\"'`)")
+            if _spoken(bare):
+                start = m.start() + word.index(bare)
+                yield start, start + len(bare)
+        if _CUE.match(word):
+            cue = n
+        elif word[-1] in ".!?" and not _LINK.match(word):
+            cue = -1
+        last = word
+
+
+def _in_calls(line: str) -> Iterator[tuple[int, int]]:
+    """The password of a login call: a literal behind the literal name of an account."""
+    for m in _LOGIN_CALL.finditer(line):
+        said = list(_LITERAL.finditer(m["args"]))
+        for name, value in zip(said, said[1:]):
+            between = m["args"][name.end() : value.start()].strip()
+            if between == "," and re.fullmatch(r"[A-Za-z][\w.@-]*", name["v"]) and _password(value["v"]) and (_kinds(value["v"]) >= 3 or re.search(r"[^A-Za-z0-9_.-]", value["v"])):
+                yield m.start("args") + value.start("v"), m.start("args") + value.end("v")
+
+
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _base62(n: int, width: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n, 62)
+        out = _BASE62[r] + out
+    return out.rjust(width, "0")
+
+
+def proof(v: str) -> str:
+    """What speaks for a value: a checksum that is right or wrong, a structure that can be decoded, or its format alone.
+
+    Tokens gh?_ and npm_ end in the CRC-32 of what stands before in base 62, glsa_ ones in that in base 16.
+    """
+    if m := re.fullmatch(r"(?:gh[opusr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})", v):
+        return "checksum" if _base62(zlib.crc32(m[1].encode()), 6) == m[2] else "checksum fails"
+    if m := re.fullmatch(r"glsa_([A-Za-z0-9]{32})_([a-f0-9]{8})", v):
+        return "checksum" if f"{zlib.crc32(f'glsa_{m[1]}'.encode()):08x}" == m[2] else "checksum fails"
+    if v.startswith("eyJ") and v.count(".") == 2 or re.match(r"(?:AKIA|ASIA)[A-Z2-7]{16}$|-----BEGIN", v) or (len(v) >= 8 and _login(v)):
+        return "structure"
+    return "format"
+
+
 def _login(v: str) -> bool:
     """An encoded login: base64 of user:password."""
     try:
@@ -209,10 +298,34 @@ def _in_line(line: str, config: bool) -> Iterator[tuple[int, int, str]]:
         if _named(m["name"], m[part]):
             scheme = re.match(r"(?i)(?:basic|bearer|token|apikey)\s+", m[part])
             yield m.start(part) + (scheme.end() if scheme else 0), m.end(part), "command"
-    for p, rule in ((_SAID, "phrase"), (_SHELL, "command"), (_CURL, "command"), (_NETRC, "netrc"), (_NPMRC, "npmrc"), (_USES, "phrase"), (_SLASH, "phrase"), (_ROOT, "phrase")):
+    for m in HOOK.finditer(line) if "://" in line else ():
+        if _key(m["v"].rsplit("/", 1)[-1]):
+            yield *m.span("v"), "url"
+    for m in _ACCOUNT_KEY.finditer(line):
+        if not _placeholder(m["v"]):
+            yield *m.span("v"), "connection"
+    if "aws" in low or "secret" in low or "akia" in low or "asia" in low:
+        for m in _AWS_SECRET.finditer(line):
+            if _kinds(m[0]) >= 3 and re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]) and re.search(r"[0-9]", m[0]) and not _placeholder(m[0]):
+                yield *m.span(), "issuer"
+    for command, flag in _COMMANDS:
+        if m := command.search(line):
+            for f in flag.finditer(line, m.end()):
+                if _password(f["v"]):
+                    yield *f.span("v"), "command"
+    for p, rule in ((_SAID, "phrase"), (_LONG_FLAG, "command"), (_NETRC, "netrc"), (_NPMRC, "npmrc")):
         for m in p.finditer(line):
             if _password(m["v"]) and (rule != "phrase" or _kinds(m["v"]) >= 3 or (len(m["v"]) >= 10 and not re.fullmatch(r"[A-Z]?[a-z]+[0-9]*", m["v"]))):
                 yield *m.span("v"), rule
+    for p in (_ENV, _XML) if "=" in line else ():
+        for m in p.finditer(line):
+            if _named(m["name"], m["v"]):
+                yield *m.span("v"), "assignment"
+    for a, b in _in_prose(line):
+        yield a, b, "phrase"
+    if "(" in line:
+        for a, b in _in_calls(line):
+            yield a, b, "call"
     for m in _QUOTED.finditer(line):
         v = m["v"]
         parts = re.findall(r"""["'`]([^"'`\n]+)["'`]""", m["more"]) if m["more"] else []
@@ -230,10 +343,6 @@ def _in_line(line: str, config: bool) -> Iterator[tuple[int, int, str]]:
             if _named(m["name"], v):
                 scheme = re.match(r"(?i)(?:basic|bearer|token|apikey)\s+", v)
                 yield m.start("v") + (scheme.end() if scheme else 0), m.start("v") + len(v), "assignment"
-    for m in _SET.finditer(line):
-        if _named(m["name"], m["v"]):
-            scheme = re.match(r"(?i)(?:basic|bearer|token|apikey)\s+", m["v"])
-            yield m.start("v") + (scheme.end() if scheme else 0), m.end("v"), "phrase"
 
 
 def _key_block(text: str, at: int) -> int:
@@ -313,7 +422,7 @@ def redact(text: str | None, path: str | None = None) -> str | None:
 
 
 def credentials(rows: DataFrame, item: str = "id", text: str = "text", path: str = "path") -> DataFrame:
-    """One row per credential: `item`, lineNo, startChar, length, rule.
+    """One row per credential: `item`, lineNo, startChar, length, rule, proof.
 
     `lineNo` counts from 1 at every newline; for a private key it is the line of its BEGIN mark. Characters
     are code points. Rows with a null or empty text have no row; a null path counts as chat. Repeated rows
@@ -322,11 +431,11 @@ def credentials(rows: DataFrame, item: str = "id", text: str = "text", path: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, line, a, b - a, rule) for i, t, p in zip(batch["i"], batch["t"], batch["p"]) for a, b, line, rule in find_credentials(t, p) if rule != "continued"]
-            yield pd.DataFrame(out, columns=["i", "lineNo", "startChar", "length", "rule"])
+            out = [(i, line, a, b - a, rule, proof(t[a:b])) for i, t, p in zip(batch["i"], batch["t"], batch["p"]) for a, b, line, rule in find_credentials(t, p) if rule != "continued"]
+            yield pd.DataFrame(out, columns=["i", "lineNo", "startChar", "length", "rule", "proof"])
 
     texts = rows.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"), F.col(path).alias("p")).where("t IS NOT NULL AND t <> ''")
-    return texts.mapInPandas(run, "i string, lineNo long, startChar long, length long, rule string").withColumnRenamed("i", item)
+    return texts.mapInPandas(run, "i string, lineNo long, startChar long, length long, rule string, proof string").withColumnRenamed("i", item)
 
 
 def redacted(rows: DataFrame, item: str = "id", text: str = "text", path: str = "path") -> DataFrame:
