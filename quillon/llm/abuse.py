@@ -128,15 +128,18 @@ DIGITS = str.maketrans("013457!@$€", "oieastiase")
 _ZERO_WIDTH = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _APART = re.compile(r"(?<![\w'])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _LEET = re.compile(r"(?<![\w@$!€])(?=[\w@$!€]*[a-z])(?=[\w@$!€]*[0-9@$!€])[a-z0-9@$!€]{3,}(?![\w@$])")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_ASCII = "abcdefghijklmnopqrstuvwxyz"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _MASKED = re.compile(r"(?<![\w*])[^\W\d_]+(?:[*#]+[^\W\d_]+)+(?![\w*])|(?<![\w*])[^\W\d_]+\*{3,}(?![\w*])")
 _SENTENCE = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
 #: French articles and prepositions joined to the next word.
 _ELISION = re.compile(r"\b([dl])'(?=\w)")
-#: Whatever stands between words; a hyphen or apostrophe within one stays.
-_GAP = re.compile(r"(?:[^\w'\n\-]|(?<![^\W_])['\-]|['\-](?![^\W_]))+")
+#: Signs that stand between words; a hyphen or apostrophe within one stays.
+_SIGNS = str.maketrans(dict.fromkeys("!\"#$%&()*+,./:;<=>?@[\\]^`{|}~\t\r\f\v\xa0¡¿«»“”„‘‚…–—·•→", " "))
+_GAP = re.compile(r"[^\S\n]{2,}|(?<![^\W_])['\-]+|['\-]+(?![^\W_])")
+_DRAWN_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 
 
 def _spelled(entry: str) -> Iterator[str]:
@@ -169,7 +172,7 @@ def _plain(s: str) -> str:
 
 
 def _strip_marks(s: str) -> str:
-    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    return s if s.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", s))
 
 
 #: Classes whose words are looked for behind disguises.
@@ -243,8 +246,6 @@ def _join(m: re.Match) -> str:
 
 
 def _undraw(m: re.Match) -> str:
-    if not _DRAWN.search(m[0]):
-        return m[0]
     bare = _strip_marks(m[0])
     known = _squeezed().get(re.sub(r"(.)\1+", r"\1", bare))
     return known if known else re.sub(r"(.)\1\1+", r"\1", m[0])
@@ -268,7 +269,7 @@ def fold(text: str) -> str:
     low = _LEET.sub(_unleet, low)
     if "*" in low or "#" in low:
         low = _MASKED.sub(_unmask, low)
-    return _LETTERS.sub(_undraw, low) if _DRAWN.search(low) else low
+    return _DRAWN_WORD.sub(_undraw, low) if any(c * 3 in low for c in (_ASCII if low.isascii() else {*low})) else low
 
 
 #: Classes without one of which a sentence scores nothing.
@@ -312,7 +313,7 @@ def score_text(text: str | None) -> tuple[float, str | None]:
     said = _strip_marks(fold(text))
     if "'" in said:
         said = _ELISION.sub(r"\1 ", said)
-    line = " " + _GAP.sub(" ", _SENTENCE.sub("\n", said)).replace("\n", " \n ") + " "
+    line = " " + _GAP.sub(" ", _SENTENCE.sub("\n", said).translate(_SIGNS)).replace("\n", " \n ") + " "
     found = [(end + 1 - n, end, kinds) for end, (n, kinds) in _automaton().iter(line)]
     kinds = {k for *_, some in found for k in some}
     if not (kinds & TELLING or any(k in kinds and SECOND[k] & kinds for k in SECOND)):

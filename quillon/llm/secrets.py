@@ -93,7 +93,7 @@ _ENTRY = re.compile(r"(?m)^[ \t]+[\w.\-]+:[ \t]*[\"']?(?P<v>[A-Za-z0-9+/]{8,}={0
 _NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>\S+)")
 _NPMRC = re.compile(r":_(?:authToken|password|auth)\s*=\s*[\"']?(?P<v>[^\s\"']+)")
 #: Words by which prose speaks of a credential, what may stand right before its value, and account names with one.
-_CUE = re.compile(r"(?i)^[\"'`(*]*(?:pw|pwd|pass|pass(?:word|phrase|code|wd)s?|passwort|kennwort|contraseña|clave|mdp|passe|logins?|accounts?|creds?|credentials?|secrets?|tokens?|(?:api[_-]?)?keys?|root|admin)[\"'`:,)*]*$|^[\w.\-]*(?:password|passphrase|secret|token|pass|pwd|key)[\"'`:,)*]*$")
+_CUE = re.compile(r"(?i)^[\"'`(*]*(?:pw|pwd|pass|pass(?:word|phrase|code|wd)s?|passwort|kennwort|contraseña|clave|mdp|passe|logins?|accounts?|creds?|credentials?|secrets?|tokens?|(?:api[_-]?)?keys?|root|admin)[\"'`:,)*]*$|^[\w.\-]*(?:password|passphrase|secret|token|pass|pwd|key|credentials)[\"'`:,)*]*$")
 _LINK = re.compile(r"(?i)^(?:is|was|are|be|uses?|has|to|with|takes?|as|now|ist|lautet|es|est|son|:|=|/|->|=>|→|it's|its)$|.*[:=/]$")
 _ACCOUNT = re.compile(r"(?i)^[\"'`(]*(?:" + "|".join(USERS) + r"):(?P<v>[^\s:/\"'`)]{8,})")
 #: Calls that take a login: name and password as string literals.
@@ -154,27 +154,29 @@ def _spoken(v: str) -> bool:
     special = bool(re.search(r"[^A-Za-z0-9_.\-]", v))
     if re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)*\d{0,3}|[A-Z][a-z]+(?:[A-Z][a-z]+)*\d{0,3}|[0-9a-f]+|[A-Za-z]+(?:[-_.][A-Za-z0-9]+)+|[A-Za-z]\w*_\w*", v):
         return False
-    return special and _kinds(v) >= 3 or _kinds(v) >= 3 and len(v) >= 10
+    # letters alone: case changes more often than in words put together
+    mixed = v.isalpha() and len(v) >= 12 and len(v) < 2.3 * len(re.findall(r"[A-Z]?[a-z]*", v)[:-1])
+    return special and _kinds(v) >= 3 or _kinds(v) >= 3 and len(v) >= 10 or mixed
 
 
 def _in_prose(line: str) -> Iterator[tuple[int, int]]:
     """Values that are said to be a password: a cue earlier in the sentence and a link right before, or user:value."""
-    cue, last = -1, ""
+    cue, last, named = -1, "", ""
     for n, m in enumerate(re.finditer(r"\S+", line)):
         word = m[0]
         pair = _ACCOUNT.match(word)
         if pair:
             v = pair["v"].rstrip(".,;!?") if pair["v"][-1:] in ".,;" else pair["v"]
-            if _spoken(v) and (re.search(r"[^A-Za-z0-9]", v) or len(v) >= 12):
+            if _spoken(v) and (re.search(r"[^A-Za-z0-9]", v) or len(v) >= 12 or _spoken(v)):
                 yield m.start() + pair.start("v"), m.start() + pair.start("v") + len(v)
         elif cue >= 0 and (_LINK.match(last) or n - cue == 1):
             bare = word[2:].rstrip(".,;")[:-2] if word.startswith("**") and word.rstrip(".,;").endswith("**") else word
             bare = bare.lstrip("\"'`(").rstrip(".,;").rstrip("\"'`)")
-            if _spoken(bare):
+            if _spoken(bare) or (named and _LINK.match(last) and _named(named, bare)):
                 start = m.start() + word.index(bare)
                 yield start, start + len(bare)
         if _CUE.match(word):
-            cue = n
+            cue, named = n, re.sub(r"[^\w.\-]", "", word) if re.search(r"_|[a-z][A-Z]|-", word) else ""
         elif word[-1] in ".!?" and not _LINK.match(word):
             cue = -1
         last = word
