@@ -119,9 +119,40 @@ def test_structure(language):
     assert S.extract(text.replace("\n", "\r\n"), language.upper())[0][0][0] == s[0][0]
 
 
+FIXED = [
+    ("typescript", "import { Router } from './router';\nexport function authenticate(token: string) {\n  return token;\n}\nclass LoginService {}", [("authenticate", "function"), ("LoginService", "class")], {("./router", "import")}),
+    ("typescript", "import { verifyToken } from './AuthTokens';\nexport function authenticate(token: Token): Result {\n  return verifyToken(token);\n}\nclass LoginService extends BaseService implements AuthService {\n  public login(user: User) {\n    return authenticate(user.token);\n  }\n}\nexport { LoginService as Service } from './services';", [("authenticate", "function"), ("LoginService", "class"), ("login", "method")], {("./AuthTokens", "import"), ("authenticate", "export"), ("verifyToken", "call"), ("BaseService", "inheritance"), ("AuthService", "inheritance"), ("LoginService", "export"), ("./services", "export")}),
+    ("typescript", "export function summarizeChunks() {\n  const chunk = { count: 1 };\n  return chunk.count;\n}\nconst topLevelHelper = () => true;", [("summarizeChunks", "function"), ("topLevelHelper", "function")], set()),
+    ("javascript", "const api = require('./api');\nmodule.exports = function createServer() {}", [("api", "variable"), ("createServer", "function")], {("./api", "import"), ("createServer", "export")}),
+    ("javascript", "const s = `class No { ${f(1)} }`; // function no() {}\nconst r = /class Never/.test(x);\nexports.run = 1;\nconst o = {\n  go(a) {\n    return new Thing(a);\n  },\n};", [("s", "variable"), ("r", "variable"), ("o", "variable"), ("go", "method")], {("run", "export"), ("Thing", "call")}),
+    ("python", "from auth.tokens import verify\nclass LoginService:\n    pass\n\ndef authenticate(token):\n    return verify(token)\n", [("LoginService", "class"), ("authenticate", "function")], {("auth.tokens", "import"), ("verify", "call")}),
+    ("python", 'import os\nimport a.b as c, d\nclass A(x.B, metaclass=M):\n    """class No: def no(): pass"""\n    async def f(self):\n        return self.g(1)\n\nif True:\n    def h():\n        # def k(): pass\n        pass\n', [("A", "class"), ("f", "method"), ("h", "function")], {("os", "import"), ("a.b", "import"), ("d", "import"), ("x.B", "inheritance"), ("g", "call")}),
+    ("rust", "use crate::auth::Token;\npub struct LoginService {}\npub fn authenticate(token: Token) -> bool { true }\n", [("LoginService", "struct"), ("authenticate", "function")], {("crate::auth::Token", "import"), ("authenticate", "export")}),
+    ("rust", "#[derive(Debug)]\npub(crate) enum E<'a> { A(&'a str), B('x') }\nstatic mut N: i32 = 1;\nimpl E<'_> {\n    const fn f(&self) -> u8 {\n        self.g()\n            .h()\n    }\n}\n", [("E", "enum"), ("N", "variable"), ("f", "function")], {("E", "export")}),
+    ("go", 'package auth\n\nimport "context"\n\ntype LoginService struct {}\nfunc Authenticate(ctx context.Context) bool { return true }\n', [("LoginService", "struct"), ("Authenticate", "function")], {("context", "import")}),
+    ("go", 'package a\nimport (\n\tx "fmt"\n\t"os"\n)\nvar s = `func no() {`\nfunc (t *T[K]) get(a int) (int, error) {\n\treturn x.Sprint(a)\n}\n', [("s", "variable"), ("get", "method")], {("fmt", "import"), ("os", "import"), ("x.Sprint", "call")}),
+    ("java", "import com.example.Token;\npublic class LoginService {\n  public boolean authenticate(Token token) { return true; }\n}\n", [("LoginService", "class"), ("authenticate", "method")], {("com.example.Token", "import"), ("LoginService", "export")}),
+    ("java", "import static a.b.*;\ninterface I<T extends Q> extends A, B<T> {\n  int size();\n  default List<T> all(int n) throws X, Y {\n    return new Box<T>(n).of();\n  }\n}\n", [("I", "interface"), ("all", "method")], {("a.b.*", "import"), ("A", "inheritance"), ("B", "inheritance")}),
+    ("typescript", "export function ( {", [], set()), ("markdown", "export function authenticate() {}", [], set()),
+]
+
+
+@pytest.mark.parametrize("language,text,symbols,references", FIXED)
+def test_fixed_structure(language, text, symbols, references):
+    """Fixed expected yields: in order of their lines the symbols, and references that must be among those found."""
+    s, r = S.extract(text, language)
+    assert [(x[0], x[1]) for x in s] == symbols
+    assert references <= {(x[0], x[1]) for x in r}
+
+
 def test_structure_ends_and_dirt():
     s, _ = S.extract("function a() {\n  if (x) {\n  }\n}\n// function no() {}\nfunction b() {}\n", "javascript")
     assert [(x[0], x[3], x[4]) for x in s] == [("a", 1, 4), ("b", 6, 6)]
+    s, _ = S.extract("def a(\n    x,\n):\n    return [\n1]\n\n\nclass B:\n    def c(self):\n        pass\n\nz = 1\n", "python")
+    assert [(x[0], x[3], x[4]) for x in s] == [("a", 1, 5), ("B", 8, 10), ("c", 9, 10)]
+    for text in ("((((" * 20_000, "/*" * 50_000, "'" * 50_001, "a." * 50_000, "`${" * 20_000, "f(" * 20_000):
+        for language in S.LANGUAGES:
+            S.extract(text, language)
     assert S.extract("", "python") == ([], []) and S.extract("x", None) == ([], []) and S.extract("x", "cobol") == ([], [])
 
 
