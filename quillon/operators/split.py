@@ -1,13 +1,17 @@
 """Splitting texts into chunks by strategy (recursive, markdown, code), and whole ingest of texts.
 
-The splitters are loops over a single text and run in Python, batch-wise, for oversized rows only; everything
-around them (strategy, ids, hashes, parents, types) is expressions.
+Splitting works on positions. A strategy is a list of levels, coarse to fine, each a way to find the places where a
+stretch of text may be cut (a heading, the beginning of a declaration, a separator). One routine packs the stretches
+of a level into spans that fit and takes the next level for a stretch that doesn't; pieces are slices of the text.
+
+This is a loop over a single text and runs in Python, batch-wise, for oversized rows only; everything around it
+(strategy, ids, hashes, parents, types) is expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,11 +25,9 @@ SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 PARENT_CHARS = 200
 CODE_LANGUAGES = ("typescript", "javascript", "python", "rust", "go", "java")
 CODE_ENDINGS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java")
-IMPORT_LINE = re.compile(r"^\s*(import\s|from\s|require\s*\(|#include\s|use\s)")
-UNIT_START = re.compile(
-    r"(export\s+)?(default\s+)?(async\s+)?function\s+\w+|(export\s+)?(default\s+)?(abstract\s+)?class\s+\w+|(export\s+)?(default\s+)?interface\s+\w+|(export\s+)?type\s+\w+\s*(<|=)|(export\s+)?enum\s+\w+|"
-    r"(export\s+)?(namespace|module)\s+\w+|(export\s+)?(const|let|var)\s+\w+\s*[:=]\s*(async\s*)?(\(|function|\w+\s*=>)|(def|class|async def)\s+\w+|(pub\s+)?(fn|struct|impl|trait|enum)\s+\w+|(func|type|interface)\s+\w+|(public\s+)?(abstract\s+|final\s+)?(class|interface|enum)\s+\w+"
-)
+IMPORT_WORDS = frozenset("import from require use #include".split())
+MODIFIERS = "export default declare async abstract public private protected static final unsafe pub".split()
+DECLARATIONS = "function class interface type enum namespace module def fn struct impl trait func record mod".split()
 OVERLAP_MARK = "[…]\n"
 
 
@@ -35,134 +37,132 @@ def strategy(path: Column, language: Column) -> Column:
     return F.when((lang == "markdown") | path.endswith(".md"), "markdown").when(lang.isin(*CODE_LANGUAGES), "code").when(path.isNotNull() & ending.isin(*CODE_ENDINGS), "code").when(path.isNotNull() & (ending == "md"), "markdown").otherwise("recursive")
 
 
-def _tokens(text: str) -> int:
-    return -(-len(text) // CHARS)
+Span = tuple[int, int]
+#: A top-level line that begins a declaration: modifiers, a keyword and a name, or a name bound to a function.
+_DECLARED = re.compile(r"(?m)^(?:(?:" + "|".join(MODIFIERS) + r")(?:\([^)\n]*\))?[ \t]+)*(?:(?:" + "|".join(DECLARATIONS) + r")\b[ \t*]*[\w$(<]|(?:const|let|var)[ \t]+[\w$]+[^=\n]*=[ \t]*(?:async\b|function\b|\(|<|[\w$]+[ \t]*=>))")
+_HEADING = re.compile(r"(?m)^#{1,3}\s")
+Level = Callable[[str, int, int], list[Span]]
+
+
+def at_separator(separator: str) -> Level:
+    """Stretches between the separators, which belong to none."""
+
+    def stretches(text: str, start: int, stop: int) -> list[Span]:
+        out, at = [], start
+        while (cut := text.find(separator, at, stop)) >= 0:
+            out.append((at, cut))
+            at = cut + len(separator)
+        return [*out, (at, stop)]
+
+    return stretches
+
+
+def before(starts: re.Pattern, attached: str = "") -> Level:
+    """Stretches from one match to the next; lines above a match that begin with one of `attached` go with it."""
+
+    def stretches(text: str, start: int, stop: int) -> list[Span]:
+        cuts = [start]
+        for m in starts.finditer(text, start, stop):
+            at = m.start()
+            while attached and at > cuts[-1]:
+                above = max(start, text.rfind("\n", start, at - 1) + 1)
+                if above < cuts[-1] or text[above:at].lstrip()[:1] not in (*attached,):
+                    break
+                at = above
+            if at > cuts[-1]:
+                cuts.append(at)
+        return list(zip(cuts, [*cuts[1:], stop]))
+
+    return stretches
+
 
+def trimmed(text: str, span: Span) -> Span:
+    """The span without white space at its ends."""
+    part = text[span[0] : span[1]]
+    return span[0] + len(part) - len(part.lstrip()), span[1] - len(part) + len(part.rstrip()) if part.strip() else span[0] + len(part) - len(part.lstrip())
 
-def with_overlap(pieces: list[str], overlap: int) -> list[str]:
-    """Every piece but the first is preceded by the end of the one before, cut after that end's first newline."""
-    if len(pieces) < 2 or overlap <= 0:
-        return pieces
-    out = pieces[:1]
-    for before, piece in zip(pieces, pieces[1:]):
-        tail = before[-overlap * CHARS :]
-        tail = tail[tail.find("\n") + 1 :]
-        out.append(f"{OVERLAP_MARK}{tail}{piece}" if tail.strip() else piece)
+
+def spans(text: str, start: int, stop: int, levels: list[Level], size: int) -> list[Span]:
+    """Spans of at most `size` characters that hold the text from `start` to `stop`, cut at the coarsest places possible."""
+    if stop - start <= size:
+        return [(start, stop)] if stop > start else []
+    if not levels:
+        return [(at, min(at + size, stop)) for at in range(start, stop, size)]
+    out: list[Span] = []
+    open_: Span | None = None
+    for a, b in levels[0](text, start, stop):
+        if open_ and b - open_[0] <= size:
+            open_ = (open_[0], b)
+            continue
+        out += [open_] if open_ else []
+        open_ = (a, b) if b - a <= size else None
+        if not open_:
+            out += spans(text, a, b, levels[1:], size)
+    return [x for x in [*out, *([open_] if open_ else [])] if x[1] > x[0]]
+
+
+def pieces(text: str, cuts: list[Span], overlap: int, lead: str = "") -> list[str]:
+    """The slices at `cuts`, each after `lead`; all but the first repeat the end of the one before, from a line's start on."""
+    out = []
+    for n, (a, b) in enumerate(cuts):
+        tail = ""
+        if n and overlap > 0:
+            c, d = cuts[n - 1]
+            tail = text[max(c, d - overlap * CHARS) : d]
+            tail = tail[tail.find("\n") + 1 :]
+        out.append(lead + (f"{OVERLAP_MARK}{tail}" if tail.strip() else "") + text[a:b])
     return out
 
 
 def by_characters(text: str, most: int, overlap: int) -> list[str]:
+    """Windows of `most` tokens' characters, each beginning `overlap` tokens' before the end of the last."""
     if overlap >= most:
         raise ValueError("the overlap must be below the limit")
-    size, step = most * CHARS, (most - overlap) * CHARS
-    last = max(0, -(-(len(text) - size) // step)) if len(text) > size else 0
-    return [text[i * step : i * step + size] for i in range(last + 1)]
+    step = (most - overlap) * CHARS
+    return [text[at : at + most * CHARS] for at in range(0, max(1, len(text) - overlap * CHARS), step)]
 
 
-def recursive(text: str, most: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Greedy packing at the first separator; parts still too large go on with the next one."""
-    if _tokens(text) <= most:
-        return [text]
-    if not separators:
-        return by_characters(text, most, overlap)
-    sep, pieces, open_ = separators[0], [], ""
-    for part in text.split(sep):
-        joined = open_ + sep + part if open_ else part
-        if _tokens(joined) <= most:
-            open_ = joined
-            continue
-        if open_:
-            pieces.append(open_)
-        if _tokens(part) > most:
-            pieces += recursive(part, most, overlap, separators[1:])
-            open_ = ""
-        else:
-            open_ = part
-    return with_overlap([*pieces, open_] if open_ else pieces, overlap)
+_FINE = [at_separator(x) for x in SEPARATORS]
+
+
+def recursive(text: str, most: int, overlap: int) -> list[str]:
+    """Pieces cut at blank lines, else at lines, sentences, clauses, words, else anywhere."""
+    return [text] if len(text) <= most * CHARS else pieces(text, spans(text, 0, len(text), _FINE, most * CHARS), overlap)
 
 
 def markdown(text: str, most: int, overlap: int) -> list[str]:
-    """Sections before headings of level 1 to 3, packed with a blank line between."""
-    sections = re.split(r"(?m)(?=^#{1,3}\s)", text)
-    if len(sections) > 1 and not sections[0]:
-        sections = sections[1:]
-    if len(sections) <= 1:
+    """Pieces of whole sections (headings of level 1 to 3); larger sections are cut as any text."""
+    if not _HEADING.search(text):
         return recursive(text, most, overlap)
-    pieces, open_ = [], ""
-    for section in sections:
-        bare = section.strip()
-        joined = f"{open_}\n\n{bare}" if open_ else bare
-        if _tokens(joined) <= most:
-            open_ = joined
-            continue
-        if open_:
-            pieces.append(open_)
-        if _tokens(section) > most:
-            pieces += recursive(bare, most, overlap)
-            open_ = ""
-        else:
-            open_ = bare
-    return with_overlap([*pieces, open_] if open_ else pieces, overlap)
-
-
-def _units(lines: list[str]) -> tuple[list[str], bool]:
-    """Stretches of code from one top-level start to the next, decorators included; whether there is any start."""
-    starts: list[int] = []
-    for i, line in enumerate(lines):
-        if line.strip() and not line[0].isspace() and UNIT_START.match(line.strip()):
-            at = i
-            while at > 0 and lines[at - 1].strip().startswith("@"):
-                at -= 1
-            if at not in starts:
-                starts.append(at)
-    edges = [0, *starts, len(lines)]
-    units = ["\n".join(lines[a:b]).strip() for a, b in zip(edges, edges[1:])]
-    return [u for u in units if u], bool(starts)
+    cuts = spans(text, 0, len(text), [before(_HEADING), *_FINE], most * CHARS)
+    return pieces(text, [x for x in (trimmed(text, c) for c in cuts) if x[1] > x[0]], overlap)
 
 
 def code(text: str, most: int, overlap: int) -> list[str]:
-    """Units of code packed greedily, each piece led by the file's imports."""
-    lines, n = text.split("\n"), 0
-    while n < len(lines) and (IMPORT_LINE.match(lines[n]) or not lines[n].strip()):
-        n += 1
-    imports, body = "\n".join(lines[:n]).strip(), lines[n:]
-
-    def piece(inner: str) -> str:
-        inner = inner.strip()
-        return f"{imports}\n\n{inner}" if imports and inner else imports or inner
-
-    if _tokens(piece("\n".join(body))) <= most:
+    """Pieces of whole declarations, each led by the file's imports; larger declarations are cut as any text."""
+    body = 0
+    while body < len(text):
+        end = text.find("\n", body)
+        end = len(text) if end < 0 else end + 1
+        words = text[body:end].replace("(", " ").split(None, 1)
+        if words and words[0] not in IMPORT_WORDS:
+            break
+        body = end
+    imports = text[:body].strip()
+    if len(text) <= most * CHARS:
         return [text]
-    units, any_start = _units(body)
-    if not any_start:
+    if not _DECLARED.search(text, body):
         return recursive(text, most, overlap)
-    pieces: list[str] = []
-    open_: list[str] = []
-    room = most - _tokens(imports + "\n\n") if imports else most
-    for unit in units:
-        if _tokens(piece("\n\n".join([*open_, unit]))) <= most:
-            open_.append(unit)
-            continue
-        if open_:
-            pieces.append(piece("\n\n".join(open_)))
-            open_ = []
-        if _tokens(piece(unit)) <= most:
-            open_ = [unit]
-        elif room <= 0 or not imports:
-            pieces += recursive(unit, most, 0)
-        else:
-            pieces += [piece(p) for p in recursive(unit, room, 0)]
-    if open_:
-        pieces.append(piece("\n\n".join(open_)))
-    return with_overlap(pieces, overlap)
+    lead = f"{imports}\n\n" if imports else ""
+    # imports that leave hardly any room stand alone instead of leading every piece
+    alone = len(lead) > most * CHARS // 2
+    start, size = (0, most * CHARS) if alone else (body, most * CHARS - len(lead))
+    cuts = spans(text, start, len(text), [before(_DECLARED, "@"), *_FINE], size)
+    return pieces(text, [x for x in (trimmed(text, c) for c in cuts) if x[1] > x[0]], overlap, "" if alone else lead)
 
 
 def split_text(text: str, how: str, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
-    if how == "code":
-        return code(text, most, overlap)
-    if how == "markdown":
-        return markdown(text, most, overlap)
-    return recursive(text, most, overlap)
+    return {"code": code, "markdown": markdown}.get(how, recursive)(text, most, overlap)
 
 
 def split_rows(rows: DataFrame, key: str, text: str = "text", how: str = "strategy", most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
@@ -172,9 +172,9 @@ def split_rows(rows: DataFrame, key: str, text: str = "text", how: str = "strate
         for batch in batches:
             out = []
             for k, t, h in zip(batch["k"], batch["t"], batch["h"]):
-                pieces = split_text(t, h, most, overlap)
-                if len(pieces) > 1:
-                    out += [(k, i, len(pieces), p) for i, p in enumerate(pieces)]
+                parts = split_text(t, h, most, overlap)
+                if len(parts) > 1:
+                    out += [(k, i, len(parts), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(out, columns=["k", "splitIndex", "splitTotal", "text"])
 
     large = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(how).alias("h")).where(F.length("t") > most * CHARS)
@@ -194,15 +194,15 @@ def ingest(rows: DataFrame, now: Column, most: int = MAX_TOKENS, overlap: int =
     base = base.withColumn("language", X.language_of(F.col("path"), F.col("lang"))).withColumn("strategy", strategy(F.col("path"), F.col("language"))).withColumn("hash", X.content_hash(F.col("text")))
     ident = lambda i: F.sha2(F.concat_ws("|", F.coalesce("path", "source"), i, F.col("hash")), 256)
     base = base.withColumn("id", ident(F.lit("whole"))).dropDuplicates(["id"])
-    pieces = split_rows(base, "id", most=most, overlap=overlap)
-    totals = pieces.where("splitIndex = 0").select(F.col("id"), F.col("splitTotal").alias("n"))
+    cut = split_rows(base, "id", most=most, overlap=overlap)
+    totals = cut.where("splitIndex = 0").select(F.col("id"), F.col("splitTotal").alias("n"))
     whole = base.join(totals, "id", "left")
     type_ = F.coalesce("given", X.classify(F.col("text"), F.coalesce("source", F.lit(""))))
     notice = F.concat(F.lit("[split from "), F.col("n").cast("string"), F.lit(" sub-chunks] "), F.left("text", F.lit(PARENT_CHARS)), F.lit("..."))
     body = F.when(F.col("n").isNotNull(), notice).otherwise(F.col("text"))
     note = F.when(F.col("n").isNotNull(), F.to_json(F.struct(F.lit(True).alias("split"), F.col("n").alias("childCount"), F.col("strategy"), F.col("hash").alias("contentHash")))).otherwise(F.coalesce("meta", F.to_json(F.struct(F.col("hash").alias("contentHash")))))
     tops = whole.select("id", "source", type_.alias("type"), body.alias("text"), now.cast("timestamp").alias("timestamp"), "path", "language", X.token_estimate(body).alias("tokensEstimate"), F.lit(None).cast("string").alias("parentId"), note.alias("metadata"))
-    parts = pieces.select(F.col("id").alias("parentId"), "splitIndex", "splitTotal", F.col("text").alias("piece")).join(base.select(F.col("id").alias("parentId"), "source", "given", "path", "language"), "parentId")
+    parts = cut.select(F.col("id").alias("parentId"), "splitIndex", "splitTotal", F.col("text").alias("piece")).join(base.select(F.col("id").alias("parentId"), "source", "given", "path", "language"), "parentId")
     piece_hash = X.content_hash(F.col("piece"))
     children = parts.select(
         F.sha2(F.concat_ws("|", "parentId", F.col("splitIndex").cast("string"), piece_hash), 256).alias("id"), "source", F.coalesce("given", X.classify(F.col("piece"), F.coalesce("source", F.lit("")))).alias("type"), F.col("piece").alias("text"), now.cast("timestamp").alias("timestamp"),

@@ -1,5 +1,7 @@
 """Text functions, planning, splitting and structure extraction."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,10 +76,29 @@ def test_recursive_split():
     assert P.recursive("short", 10, 2) == ["short"]
     pieces = P.recursive("aaaa bbbb. " * 40, 20, 0)
     assert all(len(p) <= 80 for p in pieces) and ". ".join(pieces) == "aaaa bbbb. " * 40
-    assert P.by_characters("x" * 100, 10, 2) == ["x" * 40, "x" * 40, "x" * 36]
+    assert P.by_characters("x" * 100, 10, 2) == ["x" * 40, "x" * 40, "x" * 36] and P.by_characters("", 10, 2) == [""]
     with pytest.raises(ValueError):
         P.by_characters("x", 5, 5)
-    assert P.with_overlap(["line1\nline2\n", "b"], 2) == ["line1\nline2\n", "[…]\nline2\nb"] and P.with_overlap(["one two three", "b"], 2) == ["one two three", "[…]\nwo threeb"]
+    assert P.pieces("line1\nline2\nb", [(0, 12), (12, 13)], 2) == ["line1\nline2\n", "[…]\nline2\nb"]
+    assert P.pieces("one two threeb", [(0, 13), (13, 14)], 2, "i\n") == ["i\none two three", "i\n[…]\nwo threeb"]
+    assert P.recursive("x" * 100, 10, 0) == ["x" * 40, "x" * 40, "x" * 20]
+
+
+@pytest.mark.parametrize("how", ["recursive", "markdown", "code"])
+def test_splits_fit_and_lose_nothing(how):
+    """Whatever the text: pieces within the limit, in order, without overlaps, and every word in one of them."""
+    import random
+
+    rnd = random.Random(how)
+    for _ in range(60):
+        text = "".join(rnd.choice(["\n\n", "\n", ". ", "! ", "; ", ", ", " ", "# A\n", "## B ", "def f(x):", "class Q:\n", "export const a = () => {", "@dec\n", "import os\n", "w" * rnd.randint(1, 90), f"n{rnd.randint(0, 9999)}"]) for _ in range(rnd.randint(1, 300)))
+        parts = P.split_text(text, how, 20, 0)
+        assert len(parts) == 1 or all(0 < len(p) <= 80 for p in parts)
+        bare = lambda s: "".join(c for c in s if c.isalnum())
+        if how != "code":
+            assert bare("".join(parts)) == bare(text)
+        else:
+            assert set(re.findall(r"n\d+", text)) == set(re.findall(r"n\d+", "".join(parts))) or any(len(x) > 70 for x in text.split())
 
 
 def test_markdown_and_code_split():
@@ -86,9 +107,30 @@ def test_markdown_and_code_split():
     code = "import os\nimport sys\n\n@cached\ndef one():\n" + "    x = 1\n" * 20 + "\nclass Two:\n" + "    y = 2\n" * 20
     pieces = P.code(code, 70, 0)
     assert len(pieces) == 2 and all(p.startswith("import os\nimport sys\n\n") for p in pieces) and "@cached" in pieces[0] and "class Two" in pieces[1]
+    code = "import os\n\ndef a():\n" + "    x = 1\n" * 20 + "\n@one\n@two(3)\ndef b():\n" + "    y = 2\n" * 20
+    assert "@one" not in P.code(code, 65, 0)[0] and P.code(code, 65, 0)[1].startswith("import os\n\n@one\n@two(3)\ndef b")
     assert P.code("x = 1\n" * 200, 50, 5) == P.recursive("x = 1\n" * 200, 50, 5)
 
 
+def test_declarations_are_kept_whole():
+    """Three functions over the limit together: one piece each, led by the import; a large one is cut within itself only."""
+
+    def function(name, rows):
+        return f"export function {name}() {{\n  return [\n" + "".join(f"    '{name}-{i}',\n" for i in range(rows)) + "  ].join(' ');\n}"
+
+    text = 'import { helper } from "./helper";\n\n' + "\n\n".join(function(n, 8) for n in ("alpha", "beta", "gamma"))
+    parts = P.code(text, 80, 0)
+    assert len(parts) == 3 and all(p.startswith("import { helper }") and len(p) <= 320 for p in parts)
+    assert [n for p in parts for n in ("alpha", "beta", "gamma") if f"function {n}" in p] == ["alpha", "beta", "gamma"]
+    parts = P.code('import { helper } from "./helper";\n\n' + function("oversized", 48), 50, 0)
+    assert len(parts) > 1 and "export function oversized" in parts[0] and all(p.startswith("import { helper }") and len(p) <= 200 for p in parts)
+    text = 'import { foo } from "bar";\n\n' + "\n".join(f"function func{i}() {{\n  return {i};\n}}" for i in range(30))
+    parts = P.code(text, 100, 10)
+    assert len(parts) > 1 and all("import { foo }" in p and len(p) <= 4 * 160 for p in parts)
+    prose = "\n\n".join(["This is a test sentence with enough words to use tokens."] * 50)
+    assert all(len(p) <= 4 * 160 for p in P.recursive(prose, 100, 10)) and len(P.recursive(prose, 100, 10)) > 1
+
+
 def test_ingest(spark):
     long = "# One\n\n" + "word " * 1200 + "\n\n# Two\n\n" + "text " * 1200
     rows = [("file", long, "./docs\\a.md", None), ("file", long, "docs/a.md", None), ("file", "export const x = 1", "src/b.ts", "TS"), ("conversation", "must not fail", None, None), ("file", None, "c", None), ("file", "", "d", None)]
