@@ -13,6 +13,7 @@ from quillon.functions import text as X
 from quillon.functions import vector as V
 from quillon.operators.index import doc_stats, postings
 from quillon.plans.materialize import materialize
+from quillon.plans.planner import compound, locates
 
 # fixed values: constants of the rankings
 FTS_K1, FTS_B = 1.2, 0.75
@@ -114,10 +115,10 @@ def _asked(planned: DataFrame) -> DataFrame:
     """query_id, use, term, strong: the query features that the structural arm compares, normalised."""
     s = F.col("structural")
     long = lambda a, n: F.filter(a, lambda x: F.length(x) > n)
-    cue = s["raw"].rlike(r"(?i)\b(find|where|locate|show|contains|defined|grep|which\s+file)\b")
+    cue = locates(s["raw"])
     quoted = F.transform(s["quotedTerms"], X.normalize_symbol)
     exact = F.concat(long(F.transform(s["identifiers"], X.normalize_symbol), 2), long(quoted, 2))
-    written = F.filter(s["identifiers"], lambda w: w.rlike(r"[a-z0-9][A-Z]|_|^[A-Z]{2,}$|^[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*$") | (cue & w.rlike(r"^[a-z][a-z0-9_$]{5,}$")))
+    written = F.filter(s["identifiers"], lambda w: compound(w) | (cue & w.rlike(r"^[a-z][a-z0-9_$]{5,}$")))
     strong = F.concat(long(F.transform(written, X.normalize_symbol), 2), F.filter(exact, lambda w: cue & w.rlike(r"^[a-z][a-z0-9_$]{5,}$")))
     parts = s["identifierParts"]
     uses = {
