@@ -6,14 +6,19 @@ to the corpus, but no size is assumed: joins are declared and the optimizer choo
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions import text as X
 from quillon.functions import vector as V
 from quillon.operators.index import doc_stats, postings
 from quillon.plans.materialize import materialize
-from quillon.plans.planner import compound, locates
+from quillon.plans.planner import bound, compound, locates
 
 # fixed values: constants of the rankings
 FTS_K1, FTS_B = 1.2, 0.75
@@ -77,16 +82,76 @@ def merged_text(fts: DataFrame, lexical_: DataFrame, k: int = DEPTH) -> DataFram
     return ranked(both.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")), k)
 
 
+#: Query vectors, and stored vectors of a batch, that meet at a time.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+
+
+def _nearest(block: dict[int, tuple[list, np.ndarray]], k: int, kinds: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function over (chunk_id, v): of a partition's rows the `k` best of every query of the block, and ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            vectors, ids = batch.column("v"), np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+            sizes = np.diff(vectors.offsets.to_numpy())
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+            rows = ((d, part) for d in set(np.unique(sizes).tolist()) & block.keys() for at in [np.flatnonzero(sizes == d)] for part in np.array_split(at, -(-len(at) // ROW_BLOCK)))
+            for d, at in rows:
+                x = flat[starts[at][:, None] + np.arange(d)]
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                score = np.round(block[d][1] @ np.divide(x, length, out=np.zeros_like(x), where=length > 0).T, 6) + 0.0
+                score[np.isnan(score)] = 0.0
+                held = best.get(d)
+                if held:
+                    score, own = np.concatenate([held[0], score], axis=1), np.concatenate([held[1], np.broadcast_to(ids[at], (len(score), len(at)))], axis=1)
+                else:
+                    own = np.broadcast_to(ids[at], score.shape)
+                if score.shape[1] > 4 * k:
+                    score, own = _cut(score, own, k)
+                best[d] = (score, own)
+        for d, (score, own) in best.items():
+            score, own = _cut(score, own, k) if score.shape[1] > k else (score, own)
+            q = np.repeat(np.arange(len(score)), score.shape[1])
+            names = block[d][0]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], kinds[0]), pa.array(own.reshape(-1).tolist(), kinds[1]), pa.array(score.reshape(-1))], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def _cut(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `k` best of every row; ties go to the smaller id."""
+    keep = np.empty((len(score), k), dtype=np.int64)
+    for r in range(len(score)):
+        worth = np.flatnonzero(score[r] >= np.partition(score[r], score.shape[1] - k)[score.shape[1] - k])
+        keep[r] = sorted(worth, key=lambda c: (-score[r, c], own[r, c]))[:k]
+    return np.take_along_axis(score, keep, axis=1), np.take_along_axis(own, keep, axis=1)
+
+
 def vector(queries: DataFrame, embeddings: DataFrame, k: int = DEPTH, query_id: str = "query_id", query_vector: str = "embedding", doc: str = "chunkId", vector_: str = "embedding") -> DataFrame:
-    """Exact cosine of every query vector with every stored vector of its length.
+    """Exact cosine of every query vector with every stored vector of its length, rounded to 6 decimals.
 
-    The queries are laid out in blocks of arrays, so a stored vector meets a block of queries at a time and
-    only its best `k` by query leave a partition (window group limit).
+    Queries meet the stored vectors in blocks of `QUERY_BLOCK`, as one matrix product per batch, and only the `k`
+    best of every query leave a partition. Vectors without length, and those with parts that are no numbers, have
+    a similarity of 0.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q")).where("q IS NOT NULL").withColumn("n", F.size("q"))
-    stored = embeddings.select(F.col(doc).alias("chunk_id"), F.col(vector_).alias("v")).where("v IS NOT NULL").withColumn("n", F.size("v"))
-    sims = stored.join(asked, "n").select("query_id", "chunk_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return ranked(sims, k)
+    stored = embeddings.select(F.col(doc).alias("chunk_id"), F.col(vector_).cast("array<double>").alias("v")).where("v IS NOT NULL AND chunk_id IS NOT NULL")
+    asked = materialize(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("q"), F.monotonically_increasing_id().alias("nr")).where("q IS NOT NULL"))
+    kinds = [asked.schema["query_id"].dataType, stored.schema["chunk_id"].dataType]
+    total = asked.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    found = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("nr"), F.lit(blocks)) == n).select("query_id", "q").collect()
+        block: dict[int, tuple[list, np.ndarray]] = {}
+        for d in {len(r.q) for r in part} - {0}:
+            own = [r for r in part if len(r.q) == d]
+            x = np.array([[np.nan if v is None else v for v in r.q] for r in own], dtype=np.float64)
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            block[d] = ([r.query_id for r in own], np.divide(x, length, out=np.zeros_like(x), where=length > 0))
+        near = stored.mapInArrow(_nearest(block, k, [to_arrow_type(t) for t in kinds]), f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double")
+        found = near if found is None else found.unionByName(near)
+    return ranked(found, k)
 
 
 #: Runs of name characters up to this length are cut into all their substrings; longer ones are searched.
@@ -115,19 +180,25 @@ def _asked(planned: DataFrame) -> DataFrame:
     """query_id, use, term, strong: the query features that the structural arm compares, normalised."""
     s = F.col("structural")
     long = lambda a, n: F.filter(a, lambda x: F.length(x) > n)
-    cue = locates(s["raw"])
-    quoted = F.transform(s["quotedTerms"], X.normalize_symbol)
-    exact = F.concat(long(F.transform(s["identifiers"], X.normalize_symbol), 2), long(quoted, 2))
-    written = F.filter(s["identifiers"], lambda w: compound(w) | (cue & w.rlike(r"^[a-z][a-z0-9_$]{5,}$")))
-    strong = F.concat(long(F.transform(written, X.normalize_symbol), 2), F.filter(exact, lambda w: cue & w.rlike(r"^[a-z][a-z0-9_$]{5,}$")))
-    parts = s["identifierParts"]
-    uses = {
-        "fragment": s["pathFragments"], "token": s["pathTokens"], "path_part": long(F.concat(parts, F.transform(s["tokens"], X.normalize_symbol)), 2), "extension": s["extensions"], "exact": exact, "named": F.concat(exact, strong, quoted), "part": parts,
-        "partial": long(F.concat(F.transform(parts, X.normalize_symbol), exact), 4),
-    }
-    laid = F.array(*(F.struct(F.lit(k).alias("use"), F.array_distinct(v).alias("terms")) for k, v in uses.items()))
-    rows = planned.select("query_id", strong.alias("strong"), F.explode(laid).alias("u"))
-    return rows.select("query_id", "u.use", "strong", F.explode("u.terms").alias("term")).where("term <> ''").select("query_id", "use", "term", F.array_contains("strong", F.col("term")).alias("strong"))
+    looked_for = lambda w: w.rlike(r"^[a-z][a-z0-9_$]{5,}$")
+
+    def names(c: Column) -> Column:
+        written = F.filter(s["identifiers"], lambda w: compound(w) | (c["cue"] & looked_for(w)))
+        exact = F.concat(long(c["normal"], 2), long(c["quoted"], 2))
+        return F.struct(c["quoted"].alias("quoted"), exact.alias("exact"), F.concat(long(F.transform(written, X.normalize_symbol), 2), F.filter(exact, lambda w: c["cue"] & looked_for(w))).alias("strong"))
+
+    def uses(c: Column) -> Column:
+        parts = s["identifierParts"]
+        terms = {
+            "fragment": s["pathFragments"], "token": s["pathTokens"], "path_part": long(F.concat(parts, F.transform(s["tokens"], X.normalize_symbol)), 2), "extension": s["extensions"], "exact": c["exact"], "named": F.concat(c["exact"], c["strong"], c["quoted"]), "part": parts,
+            "partial": long(F.concat(F.transform(parts, X.normalize_symbol), c["exact"]), 4),
+        }
+        return F.struct(c["strong"].alias("strong"), F.array(*(F.struct(F.lit(k).alias("use"), F.array_distinct(v).alias("terms")) for k, v in terms.items())).alias("laid"))
+
+    said = F.struct(locates(s["raw"]).alias("cue"), F.transform(s["identifiers"], X.normalize_symbol).alias("normal"), F.transform(s["quotedTerms"], X.normalize_symbol).alias("quoted"))
+    laid = materialize(planned.select("query_id", bound(said, lambda c: bound(names(c), uses)).alias("c")))
+    rows = laid.select("query_id", "c.strong", F.explode("c.laid").alias("u")).select("query_id", "u.use", "strong", F.explode("u.terms").alias("term"))
+    return rows.where("term <> ''").select("query_id", "use", "term", F.array_contains("strong", F.col("term")).alias("strong"))
 
 
 def _points(rows: DataFrame, keys: list[str], kind: Column, structural: Column, dependency: Column | float, shown: Column, symbol_exact: Column | bool = False, path_exact: Column | bool = False) -> DataFrame:
@@ -212,7 +283,8 @@ def structural(planned: DataFrame, chunks: DataFrame, symbols: DataFrame, refere
     paths = chunks.select(F.col("id").alias("chunk_id"), F.col("path")).where("path IS NOT NULL AND path <> '' AND chunk_id IS NOT NULL").distinct()
     owners = symbols.select(F.col("chunkId").alias("chunk_id"), "name", F.coalesce("kind", F.lit("")).alias("symbol_kind"), F.coalesce("isExported", F.lit(False)).alias("out")).where("chunk_id IS NOT NULL")
     users = references.select(F.col("chunkId").alias("chunk_id"), "target", "normalizedTarget").where("chunk_id IS NOT NULL")
-    arms = [(_path_points(asked, paths), ["path"], paths), (_symbol_points(asked, symbols), ["name", "symbol_kind", "out"], owners), (_reference_points(asked, references), ["target", "normalizedTarget"], users)]
+    # points per distinct name are few next to what they place; scores and reasons both read them
+    arms = [(materialize(_path_points(asked, paths)), ["path"], paths), (materialize(_symbol_points(asked, symbols)), ["name", "symbol_kind", "out"], owners), (materialize(_reference_points(asked, references)), ["target", "normalizedTarget"], users)]
     parts = None
     for points, key, places in arms:
         per_name = points.groupBy("query_id", *key).agg(F.sum("s").alias("s"), F.sum("d").alias("d"), F.max("symbol_exact").alias("symbol_exact"), F.max("path_exact").alias("path_exact"))

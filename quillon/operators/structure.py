@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.plans.materialize import widen
 
 # --- fixed values: languages, words that are no names, and kinds by keyword ---
 LANGUAGES = ("typescript", "javascript", "python", "rust", "go", "java")
@@ -442,7 +443,7 @@ def extract_rows(chunks: DataFrame) -> DataFrame:
                 out += [(i, p, lang, "symbol", *s) for s in symbols] + [(i, p, lang, "reference", r[0], r[1], None, r[2], r[2], None) for r in references]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.mapInPandas(run, schema)
+    return widen(rows).mapInPandas(run, schema)
 
 
 def symbols_of(rows: DataFrame) -> DataFrame:

@@ -36,3 +36,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """`df` over all cores of the session if it comes straight from files or a checkpoint in fewer partitions than these.
+
+    For steps that compute much per byte on inputs of a few files. Inputs with enough partitions, as all large ones
+    have, stay where they are and aren't shuffled; so do plans that shuffle anyway.
+    """
+    sc = df.sparkSession.sparkContext
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(2 * sc.defaultParallelism) if df._jdf.queryExecution().toRdd().getNumPartitions() < sc.defaultParallelism else df

@@ -83,6 +83,30 @@ def test_vector(spark):
     assert [(r.query_id, r.chunk_id, r.score) for r in A.vector(q, e).orderBy("rank").collect()] == [(1, "a", 1.0), (1, "b", 0.707107)]
 
 
+def test_vector_blocks(spark, monkeypatch):
+    """Blocks of queries and of rows change nothing, and ties go to the smaller id: against all pairs."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    vectors = [rnd.integers(-2, 3, size=d).astype(float).tolist() for d in [4] * 150 + [3] * 50] + [[0.0] * 4, [float("nan")] * 4, []]
+    e = spark.createDataFrame([(f"v{i:03d}", v) for i, v in enumerate(vectors)], "chunkId string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(vectors) if i % 9 == 0], "query_id long, embedding array<float>")
+    monkeypatch.setattr(A, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(A, "ROW_BLOCK", 11)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in A.vector(q, e, 5).collect()}
+
+    def cosine(a, b):
+        a, b = np.array(a), np.array(b)
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        c = a @ b / n if n else 0.0
+        return 0.0 if np.isnan(c) else round(float(c), 6)
+
+    for i in range(0, len(vectors), 9):
+        want = sorted((-cosine(vectors[i], v), f"v{j:03d}") for j, v in enumerate(vectors) if len(v) == len(vectors[i]) > 0)[:5]
+        assert [(c, -s) for s, c in want] == [got[i, r] for r in range(1, len(want) + 1)]
+    assert A.vector(q.limit(0), e).count() == 0 and A.vector(q, e.limit(0)).count() == 0
+
+
 def test_fusion(spark):
     fts = arm(spark, [(1, "a", 9.0), (1, "b", 8.0), (1, "n", float("nan"))])
     vec = arm(spark, [(1, "b", 0.9), (1, "c", 0.1), (1, "d", 0.2)])
