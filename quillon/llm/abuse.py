@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.materialize import widen
+
 #: Score from which a text is flagged.
 THRESHOLD = 1.0
 #: Most words of a window, and words by which its weights are softened.
@@ -382,7 +384,7 @@ def score_documents(rows: DataFrame, item: str = "doc_id", text: str = "text", t
             yield batch[names].assign(score=[s for s, _ in said], category=[c for _, c in said], flagged=[s >= threshold for s, _ in said])
 
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "score double, category string, flagged boolean"])
-    scored = texts.mapInPandas(run, schema)
+    scored = widen(texts).mapInPandas(run, schema)
     return scored.select(F.col("i").alias(item), *(F.col(n).alias(c) for n, c in zip(names[1:], keep)), "score", "category", "flagged")
 
 

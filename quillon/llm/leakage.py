@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.materialize import materialize
+from quillon.plans.materialize import materialize, widen
 
 #: Words of an item that make a passage; one in so many may be edited; words of a seed.
 RUN, ONE_IN, SEED = 16, 10, 5
@@ -279,7 +279,7 @@ def candidates(texts: DataFrame, index: ItemIndex, shared, kind: str, rare_share
                     out.append((d, t, np.unique(seeds)))
             yield pd.DataFrame(out, columns=["d", "t", "seeds"])
 
-    seeded = materialize(texts.mapInPandas(look, f"d {kind}, t string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()))
+    seeded = materialize(widen(texts).mapInPandas(look, f"d {kind}, t string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()))
     most = max(1, int(rare_share * seeded.count()))
     seeds = seeded.select("row", F.explode("seeds").alias("seed"))
     counts = materialize(seeds.groupBy("seed").count())

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.materialize import materialize
+from quillon.plans.materialize import materialize, widen
 
 #: Most files the forest is taught with, a sample by hash of the path.
 TEACH_FILES = 20_000
@@ -169,7 +169,7 @@ def file_features(chunks: DataFrame, path: str = "path", text: str = "text", sou
     flat = chunks.select(F.col(path).alias("path"), F.col(text).alias("t"), F.col(source).alias("s"), F.col(metadata).alias("m")).where("path IS NOT NULL AND t IS NOT NULL AND t <> '' AND (s IS NULL OR s = 'file')")
     rows = flat.select("path", "t", split.alias("parent"), F.coalesce(F.get_json_object("m", "$.splitIndex").cast("int") > 0, F.lit(False)).alias("later"))
     schema = "path string, notice string, longest double, " + ", ".join(f"{c} double" for c in SUMS)
-    measured = rows.select("path", "t", "later").where(~F.col("parent")).mapInPandas(_rows, schema)
+    measured = widen(rows.select("path", "t", "later").where(~F.col("parent"))).mapInPandas(_rows, schema)
     heads = rows.where("parent").select("path", "t", "later").mapInPandas(_rows, schema).select("path", "notice", F.lit(0.0).alias("longest"), *(F.lit(0.0).alias(c) for c in SUMS))
     sums = measured.unionByName(heads).groupBy("path").agg(F.min("notice").alias("notice"), F.max("longest").alias("longest"), *(F.sum(c).alias(c) for c in SUMS))
 

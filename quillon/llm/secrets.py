@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.materialize import widen
+
 # --- fixed values: usual names of accounts that people share logins of -------------------------------------
 USERS = "root admin administrator user guest ops deploy deployer postgres mysql ubuntu oracle sa svc service backup demo test dev build jenkins pi ec2-user vagrant operator support".split()
 # --- fixed values: keywords of the automaton -----------------------------------------------------------
@@ -437,7 +439,7 @@ def credentials(rows: DataFrame, item: str = "id", text: str = "text", path: str
             yield pd.DataFrame(out, columns=["i", "lineNo", "startChar", "length", "rule", "proof"])
 
     texts = rows.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"), F.col(path).alias("p")).where("t IS NOT NULL AND t <> ''")
-    return texts.mapInPandas(run, "i string, lineNo long, startChar long, length long, rule string, proof string").withColumnRenamed("i", item)
+    return widen(texts).mapInPandas(run, "i string, lineNo long, startChar long, length long, rule string, proof string").withColumnRenamed("i", item)
 
 
 def redacted(rows: DataFrame, item: str = "id", text: str = "text", path: str = "path") -> DataFrame:
@@ -449,4 +451,4 @@ def redacted(rows: DataFrame, item: str = "id", text: str = "text", path: str =
             yield pd.DataFrame({"i": batch["i"], "t": [redact(t, p) if k else t for t, p, k in zip(batch["t"], batch["p"], n)], "n": n})
 
     texts = rows.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"), F.col(path).alias("p"))
-    return texts.mapInPandas(run, "i string, t string, n int").select(F.col("i").alias(item), F.col("t").alias(text), F.col("n").alias("n_redacted"))
+    return widen(texts).mapInPandas(run, "i string, t string, n int").select(F.col("i").alias(item), F.col("t").alias(text), F.col("n").alias("n_redacted"))
