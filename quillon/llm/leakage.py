@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.materialize import materialize, widen
+from quillon.plans.materialize import materialize, spread, widen
 
 #: Words of an item that make a passage; one in so many may be edited; words of a seed.
 RUN, ONE_IN, SEED = 16, 10, 5
@@ -289,7 +289,8 @@ def candidates(texts: DataFrame, index: ItemIndex, shared, kind: str, rare_share
     items = spark.createDataFrame(owned, "seed long, item long")
     rare = counts.where(F.col("count") <= most).select("seed")
     near = seeds.join(rare, "seed").join(items, "seed").groupBy("row").agg(F.collect_set("item").alias("near"))
-    return seeded.select("row", "d", "t").join(near, "row", "left").drop("row"), common
+    # few rows by their size, but each is aligned
+    return spread(seeded.select("row", "d", "t").join(near, "row", "left")).drop("row"), common
 
 
 def _leaks_of(texts: DataFrame, items: list[tuple], kinds: list[str], run_words: int, rare_share: float) -> DataFrame:
