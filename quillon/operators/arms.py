@@ -171,9 +171,24 @@ def substring_hits(names: DataFrame, key: list[str], value: str, terms: DataFram
     cut = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(F.col("run"), i, k))))
     runs = rows.where(n <= LONGEST_RUN).select("run").distinct().select("run", F.explode(F.array_distinct(cut)).alias("term")).join(wanted, "term")
     short = rows.join(runs, "run").select(*key, "term")
-    every = wanted.agg(F.collect_set("term").alias("all_terms"))
-    long = rows.where(n > LONGEST_RUN).join(F.broadcast(every)).select(*key, F.explode(F.filter("all_terms", lambda t: F.col("run").contains(t))).alias("term"))
-    return short.unionByName(long).distinct()
+    long = contained(rows.where(n > LONGEST_RUN).select(F.col("run").alias("value")).distinct(), wanted)
+    return short.unionByName(rows.join(long.withColumnRenamed("value", "run"), "run").select(*key, "term")).distinct()
+
+
+#: Characters of a term that are met by equality before the rest is compared.
+PROBE = 6
+
+
+def contained(values: DataFrame, terms: DataFrame) -> DataFrame:
+    """value, term for every distinct `value` that contains a `term`: beginnings of terms meet pieces of values by equality.
+
+    Only numbers and pieces are shuffled; a value is fetched again, by its number, for the terms whose beginning it has.
+    """
+    held = values.withColumn("nr", F.xxhash64("value"))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PROBE), F.length("value") - i + 1)), lambda k: F.substring(F.col("value"), i, k))))
+    cut = held.where("value <> ''").select("nr", F.explode(F.array_distinct(pieces)).alias("piece"))
+    met = cut.join(terms.select("term", F.left("term", F.lit(PROBE)).alias("piece")), "piece").select("nr", "term").distinct()
+    return met.join(held, "nr").where(F.col("value").contains(F.col("term"))).select("value", "term")
 
 
 def _asked(planned: DataFrame) -> DataFrame:
@@ -212,9 +227,10 @@ def _path_points(asked: DataFrame, paths: DataFrame) -> DataFrame:
     base = F.regexp_extract(low, r"([^/]*)$", 1)
     rows = paths.select("path").distinct().select("path", low.alias("low"), F.regexp_replace(low, r"\.[^.]+$", "").alias("stem_"), base.alias("base"), F.regexp_replace(base, r"\.[^.]+$", "").alias("base_stem"))
     use = {u: asked.where(F.col("use") == u) for u in ("fragment", "token", "path_part", "extension")}
-    # fragments have separators in them; there are few different ones
-    listed = use["fragment"].agg(F.collect_set("term").alias("all_terms"))
-    seen = rows.join(F.broadcast(listed)).select("*", F.explode(F.filter("all_terms", lambda t: F.col("low").contains(F.lower(t)))).alias("term"))
+    # fragments have separators in them
+    cased = use["fragment"].select("term", F.lower("term").alias("lowered")).distinct()
+    within = contained(rows.select(F.col("low").alias("value")).distinct(), cased.select(F.col("lowered").alias("term")).distinct())
+    seen = rows.join(within.select(F.col("value").alias("low"), F.col("term").alias("lowered")), "low").join(cased, "lowered").drop("lowered")
     f = F.lower("term")
     whole = F.concat(F.lit("/"), f)
     steps = [

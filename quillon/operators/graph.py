@@ -18,27 +18,30 @@ def _mentions(chunks: DataFrame, names: DataFrame, name: str) -> DataFrame:
 
     Names are paths or ids. The longest piece of letters, digits, - and _ between separators that a name has is
     its key; texts are cut into the same pieces (and those beginning or ending within a longer one can't match
-    a whole piece at the name's inside), pieces join by equality, and `contains` decides.
+    a whole piece at the name's inside), pieces join by equality, and `contains` decides. Names of one or two pieces
+    have the last four characters of the last one as their key, shorter ones their first three; texts are cut into
+    these too. Only keys are shuffled: the text is fetched for what met, and a text's copy counts as the text.
     """
     piece = r"[A-Za-z0-9_\-]+"
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"({piece})"), 1))
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - (n - 1))), lambda i: F.substring(w, i, F.lit(n)))
     pieces = F.regexp_extract_all(F.col(name), F.lit(f"({piece})"), 1)
     # only an inner piece is bounded by separators within the name itself; first and last may be cut in a text
     inner = F.when(F.size(pieces) > 2, F.slice(pieces, 2, F.size(pieces) - 2))
-    key = F.when(inner.isNotNull(), F.array_sort(inner, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))[0])
-    keyed = names.select(name).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct().withColumn("key", key)
-    texts = chunks.select(F.col("id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).where("chunk_id IS NOT NULL")
-    words = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({piece})"), 1))).alias("key"))
-    by_key = words.join(keyed.where("key IS NOT NULL"), "key").where(F.col("text").contains(F.col(name))).select("chunk_id", name)
-    # names of one or two pieces: few different ones are long enough to be told apart by their end
-    short = keyed.where("key IS NULL").select(name)
-    last = F.regexp_extract(name, r"([A-Za-z0-9_\-]+)[^A-Za-z0-9_\-]*$", 1)
-    grams = short.withColumn("gram", F.right(last, F.lit(4)))
-    cut = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({piece})"), 1)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 3)), lambda i: F.substring(w, i, F.lit(4))))))).alias("gram"))
-    by_gram = cut.join(grams.where(F.length("gram") == 4), "gram").where(F.col("text").contains(F.col(name))).select("chunk_id", name)
-    # names that end in fewer than four characters are searched one by one in every text; they are few
-    rest = grams.where(F.length("gram") < 4).agg(F.collect_set(name).alias("tiny"))
-    by_search = texts.join(F.broadcast(rest)).select("chunk_id", F.explode(F.filter("tiny", lambda n: F.col("text").contains(n))).alias(name))
-    return by_key.unionByName(by_gram).unionByName(by_search).distinct()
+    longest = F.array_sort(inner, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))[0]
+    last = F.right(F.regexp_extract(name, r"([A-Za-z0-9_\-]+)[^A-Za-z0-9_\-]*$", 1), F.lit(4))
+    how = F.when(inner.isNotNull(), F.struct(F.lit("piece").alias("how"), longest.alias("key"))).when(F.length(last) == 4, F.struct(F.lit("gram").alias("how"), last.alias("key"))).otherwise(F.struct(F.lit("start").alias("how"), F.left(name, F.lit(3)).alias("key")))
+    keyed = materialize(names.select(name).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct().select(name, how.alias("k")).select(name, "k.how", "k.key"))
+    texts = chunks.select(F.col("id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).where("chunk_id IS NOT NULL").withColumn("copy", F.xxhash64("text"))
+    cuts = {"piece": words(F.col("text")), "gram": F.flatten(F.transform(words(F.col("text")), lambda w: grams(w, 4))), "start": F.flatten(F.array(*(grams(F.col("text"), n) for n in (1, 2, 3))))}
+    present = [r.how for r in keyed.select("how").distinct().collect()]
+    met = None
+    for kind in present:
+        own = texts.select("chunk_id", "copy", F.explode(F.array_distinct(cuts[kind])).alias("key")).join(keyed.where(F.col("how") == kind).select(name, "key"), "key").select("chunk_id", "copy", name)
+        met = own if met is None else met.unionByName(own)
+    if met is None:
+        return texts.select("chunk_id", F.lit(None).cast("string").alias(name)).limit(0)
+    return met.distinct().join(texts.dropDuplicates(["chunk_id", "copy"]), ["chunk_id", "copy"]).where(F.col("text").contains(F.col(name))).select("chunk_id", name).distinct()
 
 
 def find_edges(chunks: DataFrame) -> DataFrame:

@@ -142,7 +142,11 @@ _BUDGET = f"""{_SELECT}, sized AS (SELECT c.query_id, c.chunk_id, c.rank, CAST(c
 
 @register("effective_budget", f"WITH {_BUDGET} SELECT query_id, CAST(budget AS BIGINT) AS budget FROM budgets")
 def effective_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return S.effective_budget(_candidates(spark, folder), _tokens(spark, folder), _policy(spark, folder))
+    return _budgets(spark, folder, _candidates(spark, folder))
+
+
+def _budgets(spark: SparkSession, folder: str, candidates: DataFrame) -> DataFrame:
+    return S.effective_budget(candidates, _tokens(spark, folder), _policy(spark, folder))
 
 
 @register(
@@ -154,9 +158,9 @@ def effective_budget(spark: SparkSession, folder: str) -> DataFrame:
     SELECT query_id, CAST(chunk_id AS VARCHAR) AS chunk_id, tokens, CASE WHEN taken THEN 'warm' END AS tier, CASE WHEN NOT taken THEN 'exceeds remaining budget' END AS reason, total AS running FROM steps WHERE nr > 0""",
 )
 def fill_budget(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = _candidates(spark, folder).where("selected").join(_tokens(spark, folder), "chunk_id").withColumn("hot", F.lit(False))
-    budgets = effective_budget(spark, folder)
-    return S.fill_budget(chosen, budgets).drop("position")
+    candidates = materialize(_candidates(spark, folder))
+    chosen = candidates.where("selected").join(_tokens(spark, folder), "chunk_id").withColumn("hot", F.lit(False))
+    return S.fill_budget(chosen, _budgets(spark, folder, candidates)).drop("position")
 
 
 @register(

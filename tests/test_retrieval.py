@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import arms as A
+from quillon.operators import evaluate as E
 from quillon.operators import fuse as U
 from quillon.operators import graph as G
 from quillon.operators import route as R
@@ -240,3 +241,54 @@ def test_promotion(spark, at):
     edges = spark.createDataFrame([("h", "w1", "t", 0.0), ("w1", "w2", "t", 0.0), ("w2", "w3", "t", 0.0), ("h", "c", "t", 0.0)], DEPENDENCIES)
     tiers = {r.chunk_id: r.tier for r in R.close_and_promote(rows, edges).collect()}
     assert tiers == {"h": "hot", "w1": "hot", "w2": "hot", "w3": "warm", "c": "cold"}
+
+
+def test_contained(spark):
+    import random
+
+    rnd = random.Random(2)
+    values = ["".join(rnd.choice("ab/.x") for _ in range(rnd.randint(0, 40))) for _ in range(60)] + ["k" * 500 + "needle", ""]
+    terms = ["".join(rnd.choice("ab/.x") for _ in range(rnd.randint(1, 9))) for _ in range(80)] + ["needle", "kkkkkkkkk"]
+    got = {tuple(r) for r in A.contained(spark.createDataFrame([(v,) for v in set(values)], "value string"), spark.createDataFrame([(t,) for t in set(terms)], "term string")).collect()}
+    assert got == {(v, t) for v in values for t in terms if t in v}
+    runs = spark.createDataFrame([("x" * 90 + "needle", 1), ("needle", 2)], "name string, n int")
+    assert sorted(r.n for r in A.substring_hits(runs, ["n"], "name", spark.createDataFrame([("needle",), ("xx",)], "term string"), 3).collect()) == [1, 2]
+
+
+def test_grep_rank(spark):
+    """Against counting every term in every file; whole words for the first round, substrings for the others."""
+    import math
+    import re
+
+    files = [("src/cart/total.ts", "function totalPrice(cart) { return cart.total_price + TAX }"), ("src/b.ts", "cartcart cart_total $cart totalprice"), ("docs/cart.md", None), ("e", "nothing here"), ("src/b.ts", "cart again")]
+    rounds = [(1, "identifier", 3.0, "totalprice", True), (1, "part", 1.5, "cart", False), (1, "part", 1.5, "total", False), (2, "prose", 1.0, "again", False), (2, "prose", 1.0, "zzz", False)]
+    got = {(r.query_id, r.path): r.score for r in E.grep_rank(spark.createDataFrame(rounds, "query_id int, round string, weight double, term string, whole_word boolean"), spark.createDataFrame(files, "path string, text string")).collect()}
+    n = {}
+    for q, rd, w, t, whole in rounds:
+        for p, x in files:
+            low = (x or "").lower()
+            c = len(re.findall(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])", low)) if whole else low.count(t)
+            if c:
+                n[q, p, rd, w, t] = n.get((q, p, rd, w, t), 0) + c
+    want = {}
+    for q in (1, 2):
+        total = len({k[1] for k in n if k[0] == q})
+        for p in {k[1] for k in n if k[0] == q}:
+            score = 0.0
+            for rd, w in {(k[2], k[3]) for k in n if k[:2] == (q, p)}:
+                hits = {k[4]: c for k, c in n.items() if k[:3] == (q, p, rd)}
+                df = {t: len({k[1] for k in n if k[0] == q and k[4] == t}) for t in hits}
+                rarity = sum(max(0.0, math.log(1 + (total - d + 0.5) / (d + 0.5))) for d in df.values())
+                score += w * rarity + E.GREP_COUNT_WEIGHT * math.log1p(sum(hits.values())) + (w * E.GREP_PATH_SHARE if any(t in p.lower() for t in hits) else 0)
+            want[q, p] = round(score, 9)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_mentions_of_any_name(spark):
+    """Names of one, two and more pieces, short ones and such of signs alone are found where a text contains them."""
+    names = ["src/core/plan.ts", "a/b", "ab", "x", "//", "plan.ts", "lib.rs", "longname"]
+    texts = ["see src/core/plan.ts!", "xa/bc", "cab", "no such thing", "http://e", "myplan.tsx", "lib.rs", "the longnames", None, "see src/core/plan.ts!"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)] + [("c0", "ab")], "id string, text string")
+    got = {tuple(r) for r in G._mentions(chunks, spark.createDataFrame([(n,) for n in [*names, None, ""]], "path string"), "path").collect()}
+    assert got == {(f"c{i}", n) for i, t in enumerate(texts) for n in names if t and n in t} | {("c0", "ab")}
+    assert G._mentions(chunks, spark.createDataFrame([], "path string"), "path").count() == 0
