@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.engine import MODES, STRATEGIES, ContextEngine
+from quillon.engine import MODES, SESSION_FILES, STRATEGIES, ContextEngine
 from quillon.operators import store as T
 from quillon.session import build_session
 
@@ -22,12 +22,16 @@ def parser() -> argparse.ArgumentParser:
     for name in ("ingest", "ingest-project"):
         p = sub.add_parser(name)
         p.add_argument("path")
+        p.add_argument("--large", action="store_true", help=f"take in more than {SESSION_FILES} files")
         p.add_argument("--allow", action="append", default=[], help="further folders that may be read")
     p = sub.add_parser("retrieve")
     p.add_argument("query")
     p.add_argument("--strategy", choices=STRATEGIES)
     p.add_argument("--mode", choices=MODES, default="focused")
     p.add_argument("--max-tokens", type=int)
+    p = sub.add_parser("explain")
+    p.add_argument("task")
+    p.add_argument("chunk")
     p = sub.add_parser("score")
     p.add_argument("task")
     p.add_argument("--limit", type=int, default=50)
@@ -54,16 +58,19 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session(args.master)
     engine = ContextEngine.load(spark, args.store)
     if args.command in ("ingest", "ingest-project"):
-        made = engine.ingest_directory(args.path, args.allow, project=args.command == "ingest-project")
-        engine.save(args.store + ".new")
-        print(json.dumps({"chunks": made.count(), "saved": args.store + ".new"}))
+        made = engine.ingest_directory(args.path, args.allow, project=args.command == "ingest-project", most_files=None if args.large else SESSION_FILES)
+        print(json.dumps({"chunks": made.count(), "commit": engine.save(args.store)}))
     elif args.command == "retrieve":
         query = spark.createDataFrame([(1, args.query)], "query_id int, text string")
         print(engine.context_for(query, args.mode, args.max_tokens, args.strategy)["pack"].first().pack)
     elif args.command == "score":
         show(engine.score(spark.createDataFrame([(1, args.task)], "task_id int, text string"), F.current_timestamp()).orderBy(F.desc("score")), args.limit)
+    elif args.command == "explain":
+        show(engine.explain_routing(spark.createDataFrame([(1, args.task)], "task_id int, text string"), F.current_timestamp(), args.chunk))
     elif args.command == "graph":
-        show(engine.update_graph())
+        found = engine.update_graph()
+        engine.save(args.store)
+        show(found)
     elif args.command == "symbols":
         show(engine.symbols())
     elif args.command == "stats":
@@ -71,12 +78,14 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "health":
         print(json.dumps({name: rows.count() for name, rows in engine.tables.items()}))
     elif args.command == "backfill-embeddings":
-        print(json.dumps({"embedded": engine.backfill_embeddings().count()}))
+        made = engine.backfill_embeddings()
+        print(json.dumps({"embedded": made.count(), "commit": engine.save(args.store)}))
     elif args.command == "export":
         T.export_json(*(engine.tables[t] for t in ("chunks", "dependencies", "compression_cache")), args.folder)
     elif args.command == "import":
-        for name, rows in T.import_json(spark, args.folder).items():
-            T.write_table(rows, args.store, name)
+        engine = ContextEngine(spark, T.import_json(spark, args.folder))
+        engine.backfill()
+        print(json.dumps({"commit": engine.save(args.store)}))
     elif args.command == "watch":
         from quillon.streaming.ingest import watch
 

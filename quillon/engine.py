@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as N
 from quillon.functions import vector as V
 from quillon.operators import arms as A
 from quillon.operators import compress as C
@@ -21,16 +22,20 @@ from quillon.operators import select as S
 from quillon.operators import split as P
 from quillon.operators import store as T
 from quillon.operators import structure as X
-from quillon.operators.index import stem_index
-from quillon.plans.materialize import materialize
+from quillon.operators.index import doc_stats, postings, stem_index
+from quillon.operators.segments import COMPACT_AT, OWNERS, Folder
+from quillon.plans.materialize import materialize, materialize_all
 from quillon.plans.planner import plan_queries
 from quillon.schema import TABLES
 from quillon.sources import files as files_source
+from quillon.streaming.changes import file_changes
 
 STRATEGIES = ("structural", "hybrid", "vector", "text", "graph")
 MODES = ("focused", "broad", "exhaustive")
 #: Chunks scored per task, and the rounds and budget of iterative retrieval.
 SCORED, ROUNDS, ROUND_BUDGET, NEW_TERMS = 50, 2, 100_000, 10
+#: Fixed value: a project of more files isn't indexed as a whole without being asked to.
+SESSION_FILES = 20_000
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -67,17 +72,54 @@ class ContextEngine:
             raise ValueError(f"unknown tables: {', '.join(sorted(unknown))}")
         self.spark, self.embedder, self.model, self.provider = spark, embedder, model, provider
         self.tables = {name: (tables or {}).get(name) if tables and name in tables else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+        self.warnings: list[str] = []
+        # what has changed since the commit that was loaded: rows added per table, and ids removed before them
+        self._base: tuple[str, int] | None = None
+        self._added: dict[str, DataFrame] = {}
+        self._removed: DataFrame | None = None
+        if tables and "chunks" in tables and "text_lengths" not in tables:
+            self.tables.update(self._indexed(self.tables["chunks"]))
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, **options: object) -> ContextEngine:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in TABLES if fs.exists(fs_path(f"{folder}/{n}.parquet"))}
-        return cls(spark, found, **options)
+        """The newest commit of a store; an empty engine if there is none."""
+        store = Folder(spark, folder)
+        commit, _ = store.newest()
+        engine = cls(spark, {name: store.read(name, schema) for name, schema in TABLES.items()}, **options)
+        engine._base = (folder, commit)
+        return engine
+
+    def save(self, folder: str) -> int:
+        """Commit to a store: what has changed, if this is the store's newest commit, or else everything."""
+        store = Folder(self.spark, folder)
+        commit, manifest = store.newest()
+        same = self._base == (folder, commit) and commit > 0
+        if same and not self._added and self._removed is None:
+            return commit
+        if same and max((len(v) for v in manifest.values()), default=0) < COMPACT_AT:
+            commit = store.commit({n: self._laid(n, rows) for n, rows in self._added.items()}, self._removed)
+        else:
+            commit = store.commit({n: self._laid(n, rows) for n, rows in self.tables.items()}, anew=True)
+        store.tidy()
+        self._base, self._added, self._removed = (folder, commit), {}, None
+        return commit
+
+    @staticmethod
+    def _laid(name: str, rows: DataFrame) -> DataFrame:
+        """Postings are laid out by term, so that a scan for some terms skips the rest."""
+        return rows.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else rows
+
+    def _add(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that a table gains, written once."""
+        rows = materialize(rows.select(self.tables[name].columns))
+        self.tables[name] = self.tables[name].unionByName(rows)
+        self._added[name] = self._added[name].unionByName(rows) if name in self._added else rows
+        return rows
 
-    def save(self, folder: str) -> None:
-        for name, rows in self.tables.items():
-            T.write_table(rows, folder, name)
+    @staticmethod
+    def _indexed(chunks: DataFrame) -> dict[str, DataFrame]:
+        """The inverted index of chunks: postings and text lengths."""
+        return {"postings": postings(chunks, "id", "text").withColumnRenamed("doc", "chunkId"), "text_lengths": doc_stats(chunks, "id", "text").withColumnRenamed("doc", "chunkId")}
 
     # --- ingest ---------------------------------------------------------------------------------------
     def ingest(self, rows: DataFrame, now=None) -> DataFrame:
@@ -85,22 +127,62 @@ class ContextEngine:
         now = F.current_timestamp() if now is None else now
         chunks = self.tables["chunks"]
         made = materialize(P.ingest(rows, now))
-        fresh = materialize(made.join(chunks.select("id").distinct(), "id", "left_anti"))
+        return self._add_chunks(materialize(made.join(chunks.select("id").distinct(), "id", "left_anti")))
+
+    def _add_chunks(self, fresh: DataFrame) -> DataFrame:
+        """New chunks with what is derived from them: structure, embeddings, index, edges to their pieces."""
         tagged = materialize(X.extract_rows(fresh))
         whole = fresh.where(~F.coalesce(F.get_json_object("metadata", "$.split") == "true", F.lit(False)))
         vectors = self.embedder(whole.select("id", "text", "timestamp"), "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL")
-        added = {"chunks": fresh, "code_symbols": X.symbols_of(tagged), "code_references": X.references_of(tagged), "chunk_embeddings": vectors, "dependencies": P.contains_edges(fresh)}
+        added = {"chunks": fresh, "code_symbols": X.symbols_of(tagged), "code_references": X.references_of(tagged), "chunk_embeddings": vectors, "dependencies": P.contains_edges(fresh), **self._indexed(fresh)}
         for name, extra in added.items():
-            table = self.tables[name]
-            self.tables[name] = table.unionByName(materialize(extra.select(table.columns)))
+            self._add(name, extra)
         return fresh
 
-    def ingest_directory(self, root: str, allowed: list[str] = (), project: bool = False, **options: bool) -> DataFrame:
+    def upsert_chunks(self, rows: DataFrame) -> DataFrame:
+        """Chunks by id: new ones are added; those whose text changed lose their embedding, structure, index and edges
+        for new ones; those with the same text only change their own fields. Of rows with one id the greatest counts."""
+        chunks = self.tables["chunks"]
+        one = materialize(T.upsert(chunks.limit(0), rows.select(chunks.columns), ["id"]))
+        stored = chunks.select("id", F.col("text").alias("before")).dropDuplicates(["id"])
+        known = materialize(one.join(stored, "id", "left").withColumn("same", F.col("text").eqNullSafe(F.col("before")) & F.col("before").isNotNull()))
+        changed = known.where("NOT same").select(chunks.columns)
+        kept = known.where("same").select(chunks.columns)
+        # derived rows of unchanged texts are taken along, as a removal takes all rows of a chunk
+        ids = kept.select("id")
+        along = {n: materialize(self.tables[n].join(ids.withColumnRenamed("id", OWNERS[n][0]), OWNERS[n][0], "left_semi")) for n in ("code_symbols", "code_references", "chunk_embeddings", "postings", "text_lengths")}
+        edges = self.tables["dependencies"]
+        linked = materialize(edges.join(ids.withColumnRenamed("id", "fromId"), "fromId", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "toId"), "toId", "left_semi")).select(edges.columns).distinct())
+        gone = materialize(changed.select("id"))
+        linked = linked.join(gone.withColumnRenamed("id", "fromId"), "fromId", "left_anti").join(gone.withColumnRenamed("id", "toId"), "toId", "left_anti")
+        self.delete(one.select("id"))
+        self._add("chunks", kept)
+        for name, rest in {**along, "dependencies": linked}.items():
+            self._add(name, rest)
+        self._add_chunks(materialize(changed))
+        return changed
+
+    def apply_events(self, events: DataFrame) -> DataFrame:
+        """Files that changed (path, kind, ts, text) with all that is derived from them; gives the paths touched.
+
+        The last event of a path counts. A file whose stored whole-file hash is the same keeps its rows, so events
+        that are delivered again change nothing.
+        """
+        touched, fresh = materialize_all(*file_changes(self.tables["chunks"], events))
+        self.delete(self.tables["chunks"].join(touched, "path", "left_semi").select("id"))
+        made = P.ingest(fresh.select(F.lit("file").alias("source"), "text", "path"), F.lit(0).cast("timestamp"))
+        dated = made.drop("timestamp").join(fresh.select(N.normalize_path(F.col("path")).alias("path"), F.col("ts").alias("timestamp")), "path")
+        self._add_chunks(materialize(dated.select(self.tables["chunks"].columns)))
+        return touched
+
+    def ingest_directory(self, root: str, allowed: list[str] = (), project: bool = False, most_files: int | None = None, **options: bool) -> DataFrame:
         """Read a directory below an allowed root and ingest its files; `project` takes only what tells about it."""
         validate(path=root)
         if "://" not in root and not files_source.within_roots(root, list(allowed)):
             raise ValueError(f"{root} lies outside the allowed folders")
         found = files_source.read_directory(self.spark, root)
+        if most_files is not None and (n := found.select("path").count()) > most_files:
+            raise ValueError(f"{root} holds {n} files, more than {most_files}")
         if project:
             kept = files_source.project_files(found, **options)
             sections = P.instruction_sections(kept.where("context_kind = 'agent-instruction'")).select(F.lit("file").alias("source"), "type", "text", "path", F.to_json(F.struct(F.lit("agent-instruction").alias("projectContext"), F.col("category").alias("instructionCategory"))).alias("metadata"))
@@ -108,25 +190,34 @@ class ContextEngine:
             return self.ingest(sections.unionByName(other))
         return self.ingest(found.select(F.lit("file").alias("source"), F.col("content").alias("text"), "path"))
 
+    def backfill(self) -> None:
+        """Structure and embeddings of chunks that came without, as after an import."""
+        bare = self.tables["chunks"].join(self.tables["code_symbols"].select(F.col("chunkId").alias("id")).distinct(), "id", "left_anti").join(self.tables["code_references"].select(F.col("chunkId").alias("id")).distinct(), "id", "left_anti")
+        tagged = materialize(X.extract_rows(bare))
+        self._add("code_symbols", X.symbols_of(tagged))
+        self._add("code_references", X.references_of(tagged))
+        self.backfill_embeddings()
+
     def update_graph(self) -> DataFrame:
         """Find edges by the naming rules and add those that are new."""
         edges = self.tables["dependencies"]
-        found = materialize(G.find_edges(self.tables["chunks"]).join(edges.select("fromId", "toId", "type"), ["fromId", "toId", "type"], "left_anti"))
-        self.tables["dependencies"] = edges.unionByName(found.select(edges.columns))
-        return found
+        return self._add("dependencies", G.find_edges(self.tables["chunks"]).join(edges.select("fromId", "toId", "type"), ["fromId", "toId", "type"], "left_anti"))
 
     def backfill_embeddings(self) -> DataFrame:
         """Embed the chunks that have no embedding of the engine's model."""
         missing = T.missing_embeddings(self.tables["chunks"], self.tables["chunk_embeddings"], self.model)
         rows = self.tables["chunks"].join(missing, "id", "left_semi").dropDuplicates(["id"]).select("id", "text", "timestamp")
-        made = materialize(self.embedder(rows, "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL"))
-        table = self.tables["chunk_embeddings"]
-        self.tables["chunk_embeddings"] = table.unionByName(made.select(table.columns))
-        return made
+        return self._add("chunk_embeddings", self.embedder(rows, "text", "embedding").select(F.col("id").alias("chunkId"), "embedding", F.lit(self.model).alias("model"), F.size("embedding").alias("dimensions"), "timestamp").where("embedding IS NOT NULL"))
 
     def delete(self, ids: DataFrame) -> None:
-        gone = T.delete_chunks(ids, *(self.tables[t] for t in ("chunks", "dependencies", "chunk_embeddings", "code_symbols", "code_references")))
-        self.tables.update(gone)
+        """Remove chunks with all that belongs to them."""
+        ids = materialize(ids.select("id").where("id IS NOT NULL").distinct())
+        gone = ids.withColumnRenamed("id", "gone")
+        for held in (self.tables, self._added):
+            for name in OWNERS.keys() & held.keys():
+                for owner in OWNERS[name]:
+                    held[name] = held[name].join(gone, F.col(owner) == F.col("gone"), "left_anti")
+        self._removed = ids if self._removed is None else self._removed.unionByName(ids)
 
     def enforce_limit(self, most: int = T.MAX_CHUNKS) -> DataFrame:
         gone = materialize(T.eviction(self.tables["chunks"], self.tables["dependencies"], most))
@@ -157,10 +248,17 @@ class ContextEngine:
             return out.select("query_id", "chunk_id", "score", "sources", "rank")
         arms: dict[str, DataFrame] = {}
         if strategy in ("hybrid", "text", "structural"):
-            arms["fts"] = A.merged_text(A.full_text(planned, chunks, depth), lexical, depth)
+            index = self.tables["postings"].withColumnRenamed("chunkId", "doc"), self.tables["text_lengths"].withColumnRenamed("chunkId", "doc")
+            arms["fts"] = A.merged_text(A.full_text(planned, chunks, depth, index=index), lexical, depth)
         if strategy in ("hybrid", "vector", "structural"):
-            asked = materialize(self.embedder(planned.select("query_id", "text"), "text", "embedding"))
-            arms["vector"] = A.vector(asked, self.tables["chunk_embeddings"].where(F.col("model") == self.model), depth)
+            try:
+                asked = materialize(self.embedder(planned.select("query_id", "text"), "text", "embedding"))
+                arms["vector"] = materialize(A.vector(asked, self.tables["chunk_embeddings"].where(F.col("model") == self.model), depth))
+            except Exception as problem:  # noqa: BLE001 - whatever the embedder raises
+                if not arms and structural is None:
+                    raise
+                # the other arms answer alone, and say so
+                self.warnings.append(f"vector search failed: {problem}".split("\n")[0])
         if structural is not None:
             arms["structural"] = structural.select("query_id", "chunk_id", F.col("structural_score").alias("score"))
             arms["dependency"] = structural.select("query_id", "chunk_id", F.col("dependency_boost").alias("score"))
@@ -254,8 +352,27 @@ class ContextEngine:
         start = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
         ordered = Window.orderBy("task_id", "chunk_id")
         rows = routed.join(tasks.select("task_id", F.col("text").alias("taskText")), "task_id").join(F.broadcast(start)).select((F.col("start") + F.row_number().over(ordered)).alias("id"), F.col("chunk_id").alias("chunkId"), "tier", "score", F.lit("[]").alias("reasons"), "taskText", now.cast("timestamp").alias("timestamp"))
-        self.tables["routing_history"] = table.unionByName(rows.select(table.columns))
-        return rows
+        return self._add("routing_history", rows)
+
+    def point(self, table: str, ids: list[str]) -> DataFrame:
+        """Rows of some chunks by id, as a filter of the scan."""
+        if table not in OWNERS:
+            raise ValueError(f"rows of {table} don't belong to chunks")
+        return self.tables[table].where(F.col(OWNERS[table][0]).isin(ids))
+
+    def cached_compression(self, tasks: DataFrame, chunk_ids: DataFrame) -> DataFrame:
+        """Stored summaries of tasks (task_id, text) over the same chunks (task_id, chunk_id), the newest per task."""
+        asked = tasks.select("task_id", F.col("text").alias("taskText")).join(chunk_ids.groupBy("task_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("ids")), "task_id")
+        held = self.tables["compression_cache"].withColumn("ids", F.sort_array(F.array_distinct(F.from_json("sourceChunkIds", "array<string>"))))
+        newest = Window.partitionBy("task_id").orderBy(F.desc("timestamp"), "id")
+        return asked.join(held, ["taskText", "ids"]).withColumn("nr", F.row_number().over(newest)).where("nr = 1").select("task_id", *self.tables["compression_cache"].columns)
+
+    def cache_compression(self, summaries: DataFrame, tasks: DataFrame, chunk_ids: DataFrame, now) -> DataFrame:
+        """Keep summaries (task_id, summary, facts, constraints) of the chunks they were made from; ids are hashes of both."""
+        ids = chunk_ids.groupBy("task_id").agg(F.to_json(F.sort_array(F.collect_set("chunk_id"))).alias("sourceChunkIds"))
+        rows = summaries.join(tasks.select("task_id", F.col("text").alias("taskText")), "task_id").join(ids, "task_id")
+        made = rows.select(F.sha2(F.concat_ws("|", "taskText", "sourceChunkIds"), 256).alias("id"), "taskText", "summary", F.to_json("facts").alias("retainedFacts"), F.to_json("constraints").alias("retainedConstraints"), "sourceChunkIds", now.cast("timestamp").alias("timestamp"))
+        return self._add("compression_cache", made)
 
     def compress(self, rows: DataFrame) -> DataFrame:
         """Summaries of the chunks (task_id, chunk_id, rank) of each task."""

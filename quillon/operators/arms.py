@@ -35,16 +35,25 @@ def ranked(scored: DataFrame, k: int | Column, score: str = "score") -> DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def full_text(queries: DataFrame, docs: DataFrame, k: int = DEPTH, query_id: str = "query_id", query: str = "text", doc: str = "id", text: str = "text") -> DataFrame:
+#: Most distinct terms that are handed to the scan of a stored index as a filter.
+TERM_FILTER = 2000
+
+
+def full_text(queries: DataFrame, docs: DataFrame, k: int = DEPTH, query_id: str = "query_id", query: str = "text", doc: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """BM25 over the words of the documents; every term of the query counts as often as it stands there.
 
-    Only postings of terms that some query has are kept before anything is shuffled by document.
+    Only postings of terms that some query has are kept before anything is shuffled by document. `index` gives
+    stored postings (doc, term, tf) and lengths (doc, dl), so that no text is read; postings lie sorted by term, and
+    up to `TERM_FILTER` terms are a filter of the scan.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.fts_terms(F.coalesce(F.col(query), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
-    stats = doc_stats(docs, doc, text)
+    have, stats = index if index is not None else (postings(docs, doc, text), doc_stats(docs, doc, text))
     corpus = stats.agg(F.count("*").alias("total"), F.avg("dl").alias("mean_dl"))
-    found = postings(docs, doc, text).join(wanted, "term", "left_semi")
+    if index is not None:
+        few = [r.term for r in wanted.limit(TERM_FILTER + 1).collect()]
+        have = have.where(F.col("term").isin(few)) if len(few) <= TERM_FILTER else have
+    found = have.join(wanted, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * (FTS_K1 + 1) / (F.col("tf") + FTS_K1 * (1 - FTS_B + FTS_B * F.col("dl") / F.col("mean_dl")))
     weighed = found.join(stats, "doc").join(F.broadcast(corpus)).select("doc", "term", weight.alias("w"))

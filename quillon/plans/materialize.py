@@ -28,6 +28,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
+    return [materialize(df) for df in dfs]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` over as many partitions as the session shuffles into, and at least twice its cores.
 

@@ -28,4 +28,7 @@ EMBEDDINGS = _struct(("chunkId", S), ("embedding", T.ArrayType(T.FloatType())),
 ROUTING = _struct(("id", L), ("chunkId", S), ("tier", S), ("score", D), ("reasons", S), ("taskText", S), ("timestamp", TS))
 COMPRESSION = _struct(("id", S), ("taskText", S), ("summary", S), ("retainedFacts", S), ("retainedConstraints", S), ("sourceChunkIds", S), ("timestamp", TS))
 
-TABLES = {"chunks": CHUNKS, "dependencies": DEPENDENCIES, "code_symbols": SYMBOLS, "code_references": REFERENCES, "chunk_embeddings": EMBEDDINGS, "routing_history": ROUTING, "compression_cache": COMPRESSION}
+POSTINGS = _struct(("chunkId", S), ("term", S), ("tf", L))
+LENGTHS = _struct(("chunkId", S), ("dl", L))
+
+TABLES = {"chunks": CHUNKS, "dependencies": DEPENDENCIES, "code_symbols": SYMBOLS, "code_references": REFERENCES, "chunk_embeddings": EMBEDDINGS, "routing_history": ROUTING, "compression_cache": COMPRESSION, "postings": POSTINGS, "text_lengths": LENGTHS}

@@ -1,9 +1,10 @@
-"""Keeping tables current from a stream of file events.
+"""Keeping a store current from a stream of file events.
 
-An event is path, kind (add, change, unlink), ts and the text after it. Within a micro-batch the last event of
-a path wins (the debounce), a re-delivered one changes nothing (its content hash is stored), and the batch's
-effects are written as one new snapshot of the tables, named by the batch, so that a batch run twice gives the
-same files. Deletes without events are found by comparing a listing with the table.
+An event is path, kind (add, change, unlink), ts and the text after it. Bursts of events of a path count as one (the
+debounce), within a micro-batch the last one wins, and one that is delivered again changes nothing, as the stored hash
+is the same. A batch is one commit to the store: chunks, structure, embeddings, index and edges of the files that
+changed are added, those before are removed, and nothing else is written. Deletes without events are found by
+comparing a listing with the table.
 """
 
 from __future__ import annotations
@@ -15,22 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.functions import text as X
-from quillon.operators import split as S
-from quillon.operators.store import already_current
-from quillon.schema import CHUNKS
+from quillon.engine import ContextEngine
 
 EVENTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("text", T.StringType())])
 #: Fixed value: events of a path this close together are one.
 DEBOUNCE = "300 milliseconds"
-#: Fixed value: a project of more files isn't indexed as a whole without being asked to.
-SESSION_FILES = 20_000
-
-
-def last_per_path(events: DataFrame) -> DataFrame:
-    """The last event of every path, by time; of equal times the one that deletes, then the greater text."""
-    rest = F.struct("ts", F.col("kind").alias("kind"), "text")
-    return events.where("path IS NOT NULL").groupBy("path").agg(F.max(rest).alias("e")).select("path", "e.kind", "e.ts", "e.text")
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
@@ -38,53 +28,25 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("burst"), "path").agg(F.max(F.struct("ts", "kind", "text")).alias("e"), F.count("*").alias("n_events")).select("path", "e.kind", "e.ts", "e.text", "n_events")
 
 
-def apply_events(chunks: DataFrame, events: DataFrame) -> DataFrame:
-    """The chunk table after a batch of events: paths that changed are replaced, unlinked ones go.
-
-    A file whose stored whole-file hash is the same keeps its rows (and so its ids, embeddings and times).
-    """
-    last = last_per_path(events)
-    live = last.where("kind <> 'unlink' AND text IS NOT NULL")
-    tops = chunks.where("parentId IS NULL").select("path", F.get_json_object("metadata", "$.contentHash").alias("hash"))
-    current = already_current(live.select("path", "text"), tops).select("path").distinct()
-    touched = last.select("path").join(current, "path", "left_anti")
-    fresh = live.join(current, "path", "left_anti").select(F.lit("file").alias("source"), "text", "path", "ts")
-    made = S.ingest(fresh.select("source", "text", "path"), F.lit(0).cast("timestamp"))
-    times = fresh.select(X.normalize_path(F.col("path")).alias("path"), "ts")
-    dated = made.drop("timestamp").join(times, "path").withColumnRenamed("ts", "timestamp")
-    return chunks.join(touched, "path", "left_anti").select(chunks.columns).unionByName(dated.select(chunks.columns))
-
-
 def vanished(chunks: DataFrame, listing: DataFrame) -> DataFrame:
     """Unlink events for stored file paths that a listing no longer has."""
     stored = chunks.where("source = 'file' AND path IS NOT NULL").select("path").distinct()
     return stored.join(listing.select("path").distinct(), "path", "left_anti").select("path", F.lit("unlink").alias("kind"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("text"))
 
 
-def _snapshots(spark: SparkSession, folder: str) -> list[int]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath() for s in fs.listStatus(hadoop)]
-    done = [n for n in names if n.getName().startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-    return sorted(int(n.getName().split("=")[1]) for n in done)
-
-
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete snapshot of the chunk table, or an empty one."""
-    have = _snapshots(spark, folder)
-    return spark.read.schema(CHUNKS).parquet(f"{folder}/batch={have[-1]}") if have else spark.createDataFrame([], CHUNKS)
+    """The chunk table of the store's newest commit."""
+    return ContextEngine.load(spark, folder).tables["chunks"]
 
 
-def merge_batch(folder: str) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function that writes the table after each batch as the snapshot of that batch."""
+def merge_batch(folder: str, **options: object) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that commits each batch's changes to the store, and nothing if there are none."""
 
     def run(events: DataFrame, batch: int) -> None:
-        spark = events.sparkSession
-        before = [b for b in _snapshots(spark, folder) if b < batch]
-        chunks = spark.read.schema(CHUNKS).parquet(f"{folder}/batch={before[-1]}") if before else spark.createDataFrame([], CHUNKS)
-        apply_events(chunks, events).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        engine = ContextEngine.load(events.sparkSession, folder, **options)
+        burst = debounced(events.where("path IS NOT NULL")).drop("n_events")
+        if not engine.apply_events(burst).isEmpty():
+            engine.save(folder)
 
     return run
 

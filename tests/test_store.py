@@ -97,12 +97,17 @@ def test_stream(spark, tmp_path):
     second = push(2, ("a.py", "change", "2025-01-01T01:00:00Z", "def b(): pass"), ("c.py", "add", "2025-01-01T01:00:00Z", "z"))
     assert second["a.py", "def b(): pass"] == first["a.py", "def b(): pass"] and len(second) == 3
     assert set(push(3, ("b.py", "unlink", "2025-01-01T02:00:00Z", None), ("c.py", "change", "2025-01-01T02:00:00Z", "zz"))) == {("a.py", "def b(): pass"), ("c.py", "zz")}
-    current = spark.createDataFrame(I.read_current(spark, table).collect(), CHUNKS)
-    I.merge_batch(table)(spark.createDataFrame([("c.py", "unlink", None, None)], I.EVENTS), 2)
-    I.merge_batch(table)(spark.createDataFrame([("c.py", "unlink", None, None)], I.EVENTS), 2)
-    assert I.read_current(spark, table).count() == 2
-    gone = I.vanished(current.where("path <> 'x'"), spark.createDataFrame([("a.py",)], "path string"))
-    assert {r.path for r in gone.collect()} <= {"b.py", "c.py"}
+    engine = ContextEngine.load(spark, table)
+    commit = engine._base[1]
+    ids = {r.id for r in engine.tables["chunks"].collect()}
+    for name in ("chunk_embeddings", "text_lengths"):
+        assert {r.chunkId for r in engine.tables[name].collect()} == ids
+    assert {r.name for r in engine.tables["code_symbols"].collect()} == {"b"} and {r.term for r in engine.tables["postings"].collect()} == {"def", "b", "pass", "zz"}
+    # delivered again: nothing to commit
+    I.merge_batch(table)(spark.createDataFrame([("b.py", "unlink", None, None)], I.EVENTS), 9)
+    assert ContextEngine.load(spark, table)._base[1] >= commit
+    gone = I.vanished(engine.tables["chunks"], spark.createDataFrame([("a.py",)], "path string"))
+    assert {r.path for r in gone.collect()} == {"c.py"}
 
 
 def test_metrics(spark):
@@ -204,3 +209,78 @@ def test_large_files_are_read_or_raise(spark, tmp_path):
     assert {r.path: r.n for r in found.selectExpr("path", "length(content) AS n").collect()} == {"big.log": (64 << 20) + 1, ".env.example": (1 << 20) + 1, "small.py": 5}
     with pytest.raises(ValueError, match="big.log"):
         S.read_directory(spark, str(tmp_path), max_bytes=1000)
+
+
+def test_commits(spark, at, tmp_path):
+    """What a commit adds and removes is there afterwards, older rows stay unwritten, and a half-done commit isn't seen."""
+    folder = str(tmp_path / "store")
+    engine = ContextEngine(spark)
+    texts = lambda *rows: spark.createDataFrame(rows, "source string, text string, path string")
+    engine.ingest(texts(("file", "def one(): return two()", "a.py"), ("file", "def two(): pass", "b.py")), F.lit(at(1)))
+    assert engine.save(folder) == 1 and engine.save(folder) == 1
+    second = ContextEngine.load(spark, folder)
+    second.ingest(texts(("file", "x = 3", "c.py")), F.lit(at(2)))
+    second.delete(second.list_context(path="b.py").select("id"))
+    assert second.save(folder) == 2
+    third = ContextEngine.load(spark, folder)
+    assert {r.path for r in third.tables["chunks"].collect()} == {"a.py", "c.py"} and {r.name for r in third.tables["code_symbols"].collect()} == {"one"}
+    assert third.tables["text_lengths"].count() == 2 and third.tables["chunk_embeddings"].count() == 2
+    third.ingest(texts(("file", "def two(): pass", "b.py")), F.lit(at(3)))
+    assert third.save(folder) == 3 and {r.path for r in ContextEngine.load(spark, folder).tables["chunks"].collect()} == {"a.py", "b.py", "c.py"}
+    assert len(list((tmp_path / "store" / "chunks").iterdir())) == 3
+    # an engine that wasn't loaded from the newest commit writes everything anew
+    assert engine.save(folder) == 4 and ContextEngine.load(spark, folder).tables["chunks"].count() == 2
+    from quillon.operators.segments import Folder
+
+    with pytest.raises(RuntimeError):
+        stale = Folder(spark, folder)
+        stale.newest = lambda: (3, {})
+        stale.commit({})
+    assert ContextEngine.load(spark, str(tmp_path / "none")).tables["chunks"].count() == 0
+
+
+def test_upsert_drops_what_was_derived(spark, at):
+    engine = ContextEngine(spark)
+    engine.ingest(spark.createDataFrame([("file", "def one(): pass", "a.py"), ("file", "def two(): pass", "b.py")], "source string, text string, path string"), F.lit(at(1)))
+    rows = {r.path: r.asDict() for r in engine.tables["chunks"].collect()}
+    a, b = {**rows["a.py"], "text": "def other(): pass"}, {**rows["b.py"], "source": "moved"}
+    engine.upsert_chunks(spark.createDataFrame([a, b], CHUNKS))
+    assert {(r.path, r.text, r.source) for r in engine.tables["chunks"].collect()} == {("a.py", "def other(): pass", "file"), ("b.py", "def two(): pass", "moved")}
+    assert {r.name for r in engine.tables["code_symbols"].collect()} == {"other", "two"}
+    assert engine.tables["chunk_embeddings"].count() == 2 and {r.term for r in engine.point("postings", [a["id"]]).collect()} == {"def", "other", "pass"}
+    with pytest.raises(ValueError):
+        engine.point("routing_history", ["x"])
+
+
+def test_stored_index_gives_the_same(spark, at):
+    from quillon.operators import arms as A
+    from quillon.plans.planner import plan_queries
+
+    rows = [("file", f"text number {i} about the cache and shard{i % 3} " + "token " * (i % 5), f"p{i}.md") for i in range(30)]
+    engine = ContextEngine(spark)
+    engine.ingest(spark.createDataFrame(rows, "source string, text string, path string"), F.lit(at(1)))
+    q = plan_queries(spark.createDataFrame([(1, "cache token shard1"), (2, "nothing found zzz"), (3, "text shard2")], "query_id int, text string"))
+    index = tuple(engine.tables[t].withColumnRenamed("chunkId", "doc") for t in ("postings", "text_lengths"))
+    with_, without = (sorted(map(tuple, A.full_text(q, engine.tables["chunks"], 5, index=i).collect())) for i in (index, None))
+    assert with_ == without and len(with_) == 10
+
+
+def test_degraded_and_cached(spark, at):
+    """A failing embedder leaves the other arms; summaries are kept and found again."""
+    engine = ContextEngine(spark)
+    engine.ingest(spark.createDataFrame([("file", "the cache holds tokens", "a.md"), ("file", "nothing of it", "b.md")], "source string, text string, path string"), F.lit(at(1)))
+
+    def broken(rows, text, into):
+        raise OSError("model not there")
+
+    engine.embedder = broken
+    q = spark.createDataFrame([(1, "cache tokens")], "query_id int, text string")
+    assert engine.retrieve(q, "hybrid").count() == 1 and engine.warnings == ["vector search failed: model not there"]
+    with pytest.raises(OSError):
+        engine.retrieve(q, "vector")
+    tasks, ids = spark.createDataFrame([(1, "cache tokens")], "task_id int, text string"), engine.tables["chunks"].select(F.lit(1).alias("task_id"), F.col("id").alias("chunk_id"))
+    assert engine.cached_compression(tasks, ids).count() == 0
+    made = spark.createDataFrame([(1, "short", ["f"], ["c"])], "task_id int, summary string, facts array<string>, constraints array<string>")
+    engine.cache_compression(made, tasks, ids, F.lit(at(2)))
+    assert [(r.task_id, r.summary, r.retainedFacts) for r in engine.cached_compression(tasks, ids).collect()] == [(1, "short", '["f"]')]
+    assert engine.cached_compression(tasks, ids.limit(1)).count() == 0
