@@ -23,6 +23,7 @@ from quillon.operators import split as P
 from quillon.operators import store as T
 from quillon.operators import structure as X
 from quillon.operators.index import doc_stats, postings, stem_index
+from quillon.operators.ordered import running
 from quillon.operators.segments import COMPACT_AT, OWNERS, Folder
 from quillon.plans.materialize import materialize, materialize_all
 from quillon.plans.planner import plan_queries
@@ -350,8 +351,8 @@ class ContextEngine:
         """Append routing decisions to the history, with ids after the greatest one."""
         table = self.tables["routing_history"]
         start = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-        ordered = Window.orderBy("task_id", "chunk_id")
-        rows = routed.join(tasks.select("task_id", F.col("text").alias("taskText")), "task_id").join(F.broadcast(start)).select((F.col("start") + F.row_number().over(ordered)).alias("id"), F.col("chunk_id").alias("chunkId"), "tier", "score", F.lit("[]").alias("reasons"), "taskText", now.cast("timestamp").alias("timestamp"))
+        numbered = running(routed.join(tasks.select("task_id", F.col("text").alias("taskText")), "task_id"), ["task_id", "chunk_id"], "nr")
+        rows = numbered.join(F.broadcast(start)).select((F.col("start") + F.col("nr")).alias("id"), F.col("chunk_id").alias("chunkId"), "tier", "score", F.lit("[]").alias("reasons"), "taskText", now.cast("timestamp").alias("timestamp"))
         return self._add("routing_history", rows)
 
     def point(self, table: str, ids: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions import vector as V
+from quillon.operators.ordered import running
 
 # fixed values: kinds of confusers, features of the predictor, limits of generated tasks
 CONFUSERS = ("structural-only", "fts-only", "structural+fts", "weak-partial", "adversarial-poison")
@@ -103,5 +104,5 @@ def heldout_tasks(symbols: DataFrame, seed: str, most: int, per_file: int = 2) -
     text = F.replace(F.replace(wording, F.lit("{name}"), F.col("name")), F.lit("{kind}"), F.col("kind"))
     files = symbols.select("path").where("path IS NOT NULL").distinct().orderBy(V.fnv1a32(F.concat_ws(":", F.lit(seed), "path")), "path").limit(IRRELEVANT + 1).agg(F.collect_list("path").alias("_files"))
     keywords = F.array_distinct(F.concat(F.array("name", "kind"), F.filter(X.split_identifier(F.col("name")), lambda p: F.length(p) > 2)))
-    placed = asked.join(F.broadcast(files)).withColumn("nr", F.row_number().over(Window.orderBy("h", "path", "name", "kind")))
+    placed = running(asked.join(F.broadcast(files)), ["h", "path", "name", "kind"], "nr")
     return placed.select(F.format_string("H%03d", "nr").alias("task_id"), text.alias("text"), "intent", "path", keywords.alias("keywords"), F.slice(F.filter("_files", lambda p: p != F.col("path")), 1, IRRELEVANT).alias("irrelevant"))

@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    A cluster names its shared folder in `spark.checkpoint.dir`. Only where that is unset (tests, a
-    single machine) a temporary folder is made.
+    A cluster names its shared folder in `spark.checkpoint.dir`. Where that is unset, a temporary folder is made
+    on a single machine; on a cluster that is an error, as executors can't share such a folder.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or tempfile.mkdtemp(prefix="quillon-checkpoint-")
     sc.setCheckpointDir(path)
     return path
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.operators.ordered import running
 
 # --- fixed values: folders, suffixes and names ---
 WALK_SKIP = ("node_modules", ".git", "dist", ".next", ".cache")
@@ -140,9 +141,7 @@ def cap_corpus(files: DataFrame, gold: DataFrame, most: int) -> DataFrame:
     room = marked.where("is_gold").agg(F.greatest(F.lit(0), most - F.count("*")).alias("room"))
     # an ordered limit keeps at most `most` rows per task; the exact room is cut from those
     first = marked.where("NOT is_gold").orderBy("path").limit(most)
-    from pyspark.sql import Window
-
-    numbered = first.withColumn("nr", F.row_number().over(Window.orderBy("path"))).join(F.broadcast(room)).where(F.col("nr") <= F.col("room")).drop("nr", "room")
+    numbered = running(first, ["path"], "nr").join(F.broadcast(room)).where(F.col("nr") <= F.col("room")).drop("nr", "room")
     return marked.where("is_gold").unionByName(numbered)
 
 

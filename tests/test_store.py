@@ -284,3 +284,18 @@ def test_degraded_and_cached(spark, at):
     engine.cache_compression(made, tasks, ids, F.lit(at(2)))
     assert [(r.task_id, r.summary, r.retainedFacts) for r in engine.cached_compression(tasks, ids).collect()] == [(1, "short", '["f"]')]
     assert engine.cached_compression(tasks, ids.limit(1)).count() == 0
+
+
+def test_running_sums(spark):
+    import random
+
+    from quillon.operators.ordered import running
+
+    rnd = random.Random(4)
+    data = [(rnd.randint(0, 60), i, rnd.randint(0, 9)) for i in range(500)]
+    got = {(r.a, r.b): (r.s, r.n) for r in running(running(spark.createDataFrame(data, "a int, b int, w long"), ["a", "b"], "s", F.col("w")), ["a", "b"], "n").collect()}
+    total = 0
+    for nr, (a, b, w) in enumerate(sorted(data), 1):
+        total += w
+        assert got[a, b] == (total, nr)
+    assert running(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
