@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.materialize import materialize, spread
+from quillon.plans.materialize import materialize, widen
 
 #: Items packed together. A shard's work grows with its distinct demands, of which there are at most as many.
-SHARD = 20_000
+SHARD = 8_000
 #: A container of the first round with less of its capacity in use is opened again.
 REOPEN = 0.98
 #: Rounds of reopening at most; each has far fewer items than the one before.
@@ -33,8 +33,8 @@ ROUNDS = 4
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level BPE cuts text before merging.
 BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fixed value: roles whose lines are prompts, for which no loss is taken.
-PROMPT_LINE = r"(?m)^(?:user|dev|reviewer|system|\[user\]|\[task\]).*$"
+#: Fixed value: roles of chat formats whose lines are prompts, for which no loss is taken; those of the model aren't here.
+PROMPT_LINE = r"(?mi)^[ \t]*[\[<(*#|]*(?:user|human|prompter|customer|question|prompt|instruction|input|system|task|developer|dev|reviewer)(?:[ \t]*[\])>*|:]).*$"
 
 
 @cache
@@ -49,10 +49,16 @@ def _encoder(path: str):
 def count_tokens(rows: DataFrame, item: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """`item`, tokens, loss_tokens. Null and empty texts have 0 tokens; prompt lines of chats bear no loss."""
 
+    # the driver's file goes to the executors, which needn't have it
+    rows.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rstrip("/").rsplit("/", 1)[-1]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        prompt, encode = re.compile(PROMPT_LINE), _encoder(tokenizer).encode_ordinary
+        from pyspark import SparkFiles
+
+        prompt, encode = re.compile(PROMPT_LINE), _encoder(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             n, free = [], []
             for t in batch["t"]:
@@ -62,7 +68,7 @@ def count_tokens(rows: DataFrame, item: str = "doc_id", text: str = "text", toke
             yield pd.DataFrame({"i": batch["i"], "tokens": n, "loss_tokens": [a - b for a, b in zip(n, free)]})
 
     texts = rows.select(F.col(item).alias("i"), F.col(text).alias("t"))
-    return texts.mapInPandas(run, f"i {dict(texts.dtypes)['i']}, tokens long, loss_tokens long").withColumnRenamed("i", item)
+    return widen(texts).mapInPandas(run, f"i {dict(texts.dtypes)['i']}, tokens long, loss_tokens long").withColumnRenamed("i", item)
 
 
 def pack_shard(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -137,8 +143,8 @@ def pack(counted: DataFrame, item: str = "doc_id", capacity: int = 2048, max_seg
         if not count:
             break
         shards = max(1, -(-count // shard_items))
-        # the shards are small, and by their size alone adaptive execution would pack them one after the other
-        sharded = spread(todo.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)).cast("int")), "shard")
+        # one shard a task: they are small, and by their size alone adaptive execution would pack them one after the other
+        sharded = todo.withColumn("shard", F.pmod(F.xxhash64("nr"), F.lit(shards)).cast("int")).repartitionByRange(shards, "shard")
         packed = materialize(sharded.groupBy("shard").applyInPandas(packer(f"r{round_}"), schema))
         last = shards == 1 or round_ == ROUNDS - 1
         kept = packed if last else packed.where(F.col("used") >= REOPEN * capacity)

@@ -52,6 +52,18 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(ident.alias("id"), *keep, "parentId", "pieceIndex", "pieceCount", "startChar", "overlapChars", "tokensEstimate", F.col("pieceText").alias("text"))
 
 
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Per oversized text what its pieces make together: their hash without overlaps, and whether each fits and overlaps as asked."""
+    texts = _table(spark, folder, "chunks").dropDuplicates(["id", "text"]).withColumn("textHash", F.sha2("text", 256))
+    pieces = split_oversized(texts, keep=("textHash",))
+    own = F.substring("pieceText", F.col("overlapChars") + 1, F.length("pieceText"))
+    per = pieces.withColumn("own", own).groupBy("parentId", F.col("textHash")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pieceIndex", "own"))), lambda x: x["own"]), "").alias("text"),
+        F.max(F.ceil(F.length("pieceText") / 4)).alias("most"), F.min(F.when(F.col("pieceIndex") > 0, F.col("overlapChars"))).alias("least_overlap"), F.max("overlapChars").alias("most_overlap"), F.count("*").alias("n"), F.max("pieceCount").alias("count"),
+    )
+    return per.select(F.col("parentId").alias("id"), F.left(F.sha2("text", 256), F.lit(16)).alias("hash"), F.length("text").cast("long").alias("chars"), (F.col("most") <= 2000).alias("fits"), ((F.col("least_overlap") == 800) & (F.col("most_overlap") == 800)).alias("overlaps"), (F.col("n") == F.col("count")).alias("complete"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return credentials(_table(spark, folder, "chunks")).select("id", "lineNo").distinct()
 
@@ -65,6 +77,18 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(counted).select("container", "doc_id", "piece", "offset", "tokens")
 
 
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what every filling must keep: texts placed, capacity, each piece once and whole, division only of the oversized."""
+    counted = materialize(count_tokens(_table(spark, folder, "documents")))
+    packed = materialize(pack(counted))
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg((F.max("t") <= 2048).alias("within_capacity"))
+    per = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"), F.countDistinct("piece", "offset").alias("different"))
+    both = counted.where("tokens > 0").join(per, "doc_id", "full").agg(
+        F.count("placed").alias("n_placed"), F.bool_and(F.col("placed").eqNullSafe(F.col("tokens")) & (F.col("pieces") == F.col("different"))).alias("once"), F.bool_and((F.col("pieces") == 1) | (F.col("tokens") > 2048)).alias("only_oversized_divided")
+    )
+    return both.join(F.broadcast(full))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -78,7 +102,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_ranked, p2_found, p3_found, p5_found, p5_pieces, p6_found, p6_redacted, p7_packed, p8_found, p9_found, p9_rates]
+    own = [p1_found, p1_ranked, p2_found, p3_found, p5_found, p5_pieces, p5_rejoined, p6_found, p6_redacted, p7_packed, p7_checked, p8_found, p9_found, p9_rates]
     return {q.__name__: q for q in own}
 
 
@@ -89,5 +113,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": best + " SELECT taskText, chunkId FROM ranked WHERE rank <= 10",
         "p1_ranked": best + " SELECT taskText, chunkId, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
+        "p5_rejoined": "SELECT id, left(sha256(text), 16) AS hash, CAST(length(text) AS BIGINT) AS chars, true AS fits, true AS overlaps, true AS complete FROM (SELECT DISTINCT id, text FROM chunks) WHERE ceil(length(text) / 4.0) > 2000",
+        "p7_checked": "SELECT CAST(count(*) AS BIGINT) AS n_placed, true AS once, true AS only_oversized_divided, true AS within_capacity FROM documents WHERE length(text) > 0",
         "p5_found": "SELECT DISTINCT id FROM chunks WHERE ceil(length(text) / 4.0) > 2000",
     }
