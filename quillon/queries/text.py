@@ -142,11 +142,16 @@ def source_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return C.keywords(table(spark, folder, "documents").select("source", "text"), "source")
 
 
-@register("conversation_ingest", "SELECT DISTINCT left(sha256(text), 16) AS hash, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM chunks WHERE source = 'conversation' AND text IS NOT NULL AND length(text) <= 8000")
+@register(
+    "conversation_ingest",
+    "SELECT DISTINCT left(sha256(text), 16) AS hash, length(text) > 8000 AS split, CASE WHEN length(text) <= 8000 THEN CAST(ceil(length(text) / 4.0) AS BIGINT) END AS tokens FROM chunks WHERE source = 'conversation' AND text IS NOT NULL",
+)
 def conversation_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    talk = table(spark, folder, "chunks").where("source = 'conversation' AND length(text) <= 8000").select(F.get_json_object("metadata", "$.role").alias("role"), "text")
-    made = P.ingest(P.conversation_chunks(talk), F.lit("2025-01-01"))
-    return made.select(X.content_hash(F.col("text")).alias("hash"), F.col("tokensEstimate").alias("tokens")).distinct()
+    """Every message by the hash of its whole text, whether it was split, and its tokens if not."""
+    talk = table(spark, folder, "chunks").where("source = 'conversation'").select(F.get_json_object("metadata", "$.role").alias("role"), "text")
+    made = P.ingest(P.conversation_chunks(talk), F.lit("2025-01-01")).where("parentId IS NULL")
+    split = F.coalesce(F.get_json_object("metadata", "$.split") == "true", F.lit(False))
+    return made.select(F.when(split, F.get_json_object("metadata", "$.contentHash")).otherwise(X.content_hash(F.col("text"))).alias("hash"), split.alias("split"), F.when(~split, F.col("tokensEstimate")).alias("tokens")).distinct()
 
 
 @register("conversation_pieces")
