@@ -333,10 +333,12 @@ class ContextEngine:
         return T.memory_filter(rows, **filters)
 
     # --- scoring and upkeep ---------------------------------------------------------------------------
-    def score(self, tasks: DataFrame, now, max_hot_tokens: int | None = None) -> DataFrame:
-        """Route the chunks nearest to each task (task_id, text): task_id, chunk_id, score, tier."""
+    def score(self, tasks: DataFrame, now, max_hot_tokens: int | None = None, chunk_ids: DataFrame | None = None) -> DataFrame:
+        """Route the chunks (of `chunk_ids`, id, if given) nearest to each task (task_id, text): task_id, chunk_id, score, tier."""
         asked = materialize(self.embedder(tasks.select(F.col("task_id").alias("query_id"), "text"), "text", "embedding"))
         vectors = self.tables["chunk_embeddings"].where(F.col("model") == self.model)
+        if chunk_ids is not None:
+            vectors = vectors.join(chunk_ids.select(F.col("id").alias("chunkId")).distinct(), "chunkId", "left_semi")
         near = A.vector(asked, vectors, SCORED).select(F.col("query_id").alias("task_id"), "chunk_id", F.col("score").alias("semantic"))
         meta = self.tables["chunks"].select(F.col("id").alias("chunk_id"), "type", "timestamp", F.col("tokensEstimate").alias("tokens")).dropDuplicates(["chunk_id"])
         rows = materialize(near.join(meta, "chunk_id").join(vectors.select(F.col("chunkId").alias("chunk_id"), "embedding").dropDuplicates(["chunk_id"]), "chunk_id").withColumn("ord", F.row_number().over(Window.partitionBy("task_id").orderBy("timestamp", "chunk_id"))))
@@ -380,13 +382,14 @@ class ContextEngine:
         return C.extractive_summary(rows.join(self.tables["chunks"].select(F.col("id").alias("chunk_id"), "type", "text").dropDuplicates(["chunk_id"]), "chunk_id"), item="chunk_id")
 
     def list_context(self, **filters: str) -> DataFrame:
-        return T.query_chunks(self.tables["chunks"], routing=self.tables["routing_history"], **filters)
+        """Chunks that meet the filters, newest first."""
+        return T.query_chunks(self.tables["chunks"], routing=self.tables["routing_history"], **filters).orderBy(F.desc("timestamp"), "id")
 
     def stats(self) -> DataFrame:
         return T.store_stats(self.tables["chunks"])
 
     def symbols(self, kinds: tuple[str, ...] = ("function", "class", "interface", "type", "method", "enum")) -> DataFrame:
-        return self.tables["code_symbols"].where(F.col("kind").isin(*kinds))
+        return self.tables["code_symbols"].where(F.col("kind").isin(*kinds)).orderBy("path", "startLine", "name")
 
     def evaluate(self, queries: DataFrame, qrels: DataFrame, strategy: str | None = None) -> DataFrame:
         """Metrics per query of the ranking of files that retrieval gives."""

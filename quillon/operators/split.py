@@ -218,7 +218,7 @@ def contains_edges(chunks: DataFrame) -> DataFrame:
 
 def instruction_sections(files: DataFrame) -> DataFrame:
     """Agent-instruction files (path, content) as sections: path, position, text, type, category."""
-    sections = F.filter(F.transform(F.split("content", r"(?m)(?=^#{1,3}\s+)"), F.trim), lambda s: s != "")
+    sections = F.filter(F.transform(F.split("content", r"(?m)(?=^#{1,3}\s+)"), lambda x: F.trim(x)), lambda s: s != "")
     rows = files.select("path", F.posexplode(sections).alias("position", "text"))
     return rows.select("path", "position", "text", F.when(X.is_constraint(F.col("text")), "constraint").otherwise("instruction").alias("type"), X.instruction_category(F.col("text")).alias("category"))
 

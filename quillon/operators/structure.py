@@ -465,6 +465,14 @@ def merge_symbols(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("_nr", F.row_number().over(order)).where("_nr = 1").drop("_nr", "_first")
 
 
+def merge_references(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two extractions as one: per chunk, kind, normalised target and line one reference, of the first if it has one."""
+    key = F.coalesce(F.nullif("normalizedTarget", F.lit("")), X.normalize_identifier(F.col("target")))
+    both = first.withColumn("_from", F.lit(0)).unionByName(second.withColumn("_from", F.lit(1))).withColumn("_key", key)
+    order = Window.partitionBy("chunkId", "kind", "_key", "startLine").orderBy("_from", "target", "endLine")
+    return both.withColumn("_nr", F.row_number().over(order)).where("_nr = 1").drop("_nr", "_from", "_key")
+
+
 def drop_local_calls(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """References without calls of names the same chunk declares."""
     leaf = F.regexp_replace(F.lower(F.regexp_extract("target", r"([^.:]*)$", 1)), r"[^a-z0-9_$]", "")
