@@ -1,7 +1,7 @@
 """Telling hand-written source from generated, minified, vendored and data files with a random forest.
 
 Labels come from notices: in the leading comment ("generated by ...; do not edit", a third party's banner), in the
-name (lock files and snapshots, `.min.js`), and, as embedded data carries neither, from bodies that are one literal.
+name (lock files and snapshots, `.min.js`, folders and endings of generated code), and, as embedded data carries neither, from bodies that are one literal.
 Whatever gives a label is hidden from the features: they are measured on the text without its notice, and neither
 the names nor the share of literals are among them. Features are compression ratio, token entropy, identifier
 lengths, comment density, the shapes of tokens and lines, and the folders of the path.
@@ -69,9 +69,9 @@ _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 
 #: Sums per file, added up over its chunks.
 SUMS = ["rows", "chars", "packed", "tokens", "distinct", "entropy", "idents", "ident_chars", "short_idents", "comments", "lines", "shapes", "digits", "blanks", "signs", "numbers", "literal", "long_chars"]
-FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "long_share", "vendor_dir", "generated_dir", "built_dir", "data_dir", "generated_name"]
+FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "long_share", "vendor_dir", "built_dir", "data_dir"]
 #: What gives labels besides the notice of a text. None of it is a feature.
-LABEL_GIVING = ["lock_name", "minified_name", "code_name", "literal_share", "size"]
+LABEL_GIVING = ["generated_dir", "generated_name", "lock_name", "minified_name", "code_name", "literal_share", "size"]
 
 
 def _header(text: str) -> tuple[list[str], str]:
@@ -193,7 +193,7 @@ def file_features(chunks: DataFrame, path: str = "path", text: str = "text", sou
 def labels() -> F.Column:
     """The kind a file is labelled with: by its notice, by a name that is one, or by a body that is one literal."""
     data = (F.col("literal_share") > 0.7) & (F.col("size") > math.log1p(800)) & (F.col("code_name") > 0)
-    return F.coalesce(F.col("notice"), F.when(F.col("lock_name") > 0, "generated"), F.when(F.col("minified_name") > 0, "minified"), F.when(data, "data"))
+    return F.coalesce(F.col("notice"), F.when((F.col("lock_name") > 0) | (F.col("generated_name") > 0) | (F.col("generated_dir") * F.col("code_name") > 0), "generated"), F.when(F.col("minified_name") > 0, "minified"), F.when(data, "data"))
 
 
 def judge_files(chunks: DataFrame, path: str = "path", text: str = "text", source: str = "source", metadata: str = "metadata", teach_files: int = TEACH_FILES, threshold: float = 0.5, seed: int = 7) -> DataFrame:
