@@ -220,3 +220,61 @@ def context_packs(spark: SparkSession, folder: str) -> DataFrame:
     chunks = documents(spark, folder).select(F.col("id").cast("string").alias("id"), "path", "source", F.lit("fact").alias("type"), "text")
     return S.context_pack(filled, chunks, items(spark, folder)).select("query_id", F.length("pack").alias("characters"), X.content_hash(F.col("pack")).alias("hash"))
 
+
+
+_LOGGED = """best AS (SELECT taskText AS query_id, chunkId AS chunk_id, max(score) AS score FROM routing_history WHERE taskText IS NOT NULL AND chunkId IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best QUALIFY rank <= 20),
+  meta AS (SELECT id AS chunk_id, min(coalesce(path, source, id)) AS path_key, coalesce(bool_or(regexp_matches(metadata, '"split": ?true')), false) AS parent, max(coalesce(tokensEstimate, 0)) AS tokens FROM chunks WHERE id IS NOT NULL GROUP BY id),
+  asked AS (SELECT DISTINCT query_id, CASE length(query_id) % 3 WHEN 0 THEN 'focused' WHEN 1 THEN 'broad' ELSE 'exhaustive' END AS mode, 3 + length(query_id) % 6 AS most FROM r),
+  p AS (SELECT *, CASE mode WHEN 'focused' THEN 3 WHEN 'broad' THEN 5 ELSE 0 END AS keep, CASE mode WHEN 'focused' THEN 0.35 WHEN 'broad' THEN 0.2 ELSE 0 END AS ratio, CASE mode WHEN 'exhaustive' THEN 0 ELSE 1.0 / 260 END AS floor,
+    CASE mode WHEN 'focused' THEN 2 WHEN 'broad' THEN 3 END AS cap FROM asked),
+  live AS (SELECT r.*, p.*, m.path_key, m.parent, m.chunk_id IS NOT NULL AS known, coalesce(NOT m.parent, false) AS live FROM r JOIN p USING (query_id) LEFT JOIN meta m USING (chunk_id)),
+  placed AS (SELECT *, count(*) FILTER (WHERE live) OVER w - 1 AS place, max(score) FILTER (WHERE live) OVER (PARTITION BY query_id) AS top FROM live WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+  held AS (SELECT *, live AND place < keep AS protected, NOT (live AND place < keep) AND greatest(top * ratio, floor) > 0 AND score < greatest(top * ratio, floor) AS weak FROM placed),
+  passing AS (SELECT *, count(*) FILTER (WHERE live AND NOT weak) OVER (PARTITION BY query_id, path_key ORDER BY rank ROWS UNBOUNDED PRECEDING) AS on_path FROM held),
+  fitting AS (SELECT *, live AND NOT weak AND (protected OR cap IS NULL OR on_path <= cap) AS fits FROM passing),
+  counted AS (SELECT *, count(*) FILTER (WHERE fits) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS nth FROM fitting),
+  chosen AS (SELECT *, fits AND nth <= most OR NOT bool_or(fits AND nth <= most) OVER (PARTITION BY query_id) AND live AND place = 0 AS selected,
+    CASE WHEN NOT known THEN 'chunk not found' WHEN parent THEN 'split parent metadata chunk' WHEN live AND nth - CAST(fits AS INT) >= most THEN 'after candidate limit' WHEN weak AND score < floor THEN 'below absolute relevance floor'
+      WHEN weak THEN 'below ' || mode || ' score threshold' WHEN live AND NOT fits THEN 'per-path candidate cap' END AS why FROM counted)"""
+
+
+def _logged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best of every logged task, chunks by id (split parents marked), and policies of all modes by the task's length."""
+    log = table(spark, folder, "routing_history").where("taskText IS NOT NULL AND chunkId IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    best = log.groupBy(F.col("taskText").alias("query_id"), F.col("chunkId").alias("chunk_id")).agg(F.max("score").alias("score"))
+    ranked = materialize(A.ranked(best, 20))
+    split = F.max(F.coalesce(F.col("metadata").rlike('"split": ?true'), F.lit(False)))
+    chunks = table(spark, folder, "chunks").where("id IS NOT NULL").groupBy("id").agg(F.min(F.coalesce("path", "source", "id")).alias("path"), F.when(split, '{"split": true}').otherwise("{}").alias("metadata"), F.max(F.coalesce("tokensEstimate", F.lit(0))).alias("tokens"))
+    n = F.length("query_id")
+    tasks = ranked.select("query_id").distinct().select("query_id", F.when(n % 2 == 0, "narrow").otherwise("broad").alias("complexity"), (n % 6 + 3).alias("top_k"))
+    mode = F.when(n % 3 == 0, "focused").when(n % 3 == 1, "broad").otherwise("exhaustive")
+    return ranked, chunks.withColumn("source", F.lit(None).cast("string")), S.policy(tasks, mode, 4000)
+
+
+@register("select_modes", f"WITH {_LOGGED} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, selected, CASE WHEN NOT selected THEN why END AS dropped FROM chosen")
+def select_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """Selection for every logged task, in all three modes, with split parents, dangling ids and caps."""
+    return S.select_candidates(*_logged(spark, folder)).select("query_id", "chunk_id", "rank", "selected", "dropped")
+
+
+@register(
+    "fill_hot",
+    "WITH RECURSIVE "
+    + _LOGGED
+    + """, links AS (SELECT id, count(*) AS n FROM (SELECT fromId AS id FROM dependencies UNION ALL SELECT toId FROM dependencies) WHERE id IS NOT NULL GROUP BY id),
+    cand AS (SELECT c.query_id, c.chunk_id, c.rank, m.tokens, coalesce(l.n >= 12, false) AS hot FROM chosen c JOIN meta m USING (chunk_id) LEFT JOIN links l ON l.id = c.chunk_id WHERE c.selected),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, rank) AS nr FROM (SELECT *, 1 AS phase FROM cand WHERE hot UNION ALL SELECT *, 2 FROM cand)),
+    steps AS (SELECT query_id, CAST(0 AS BIGINT) AS nr, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS inside, CAST(NULL AS VARCHAR) AS chunk_id, CAST(0 AS BIGINT) AS tokens, CAST(NULL AS VARCHAR) AS tier, CAST(NULL AS VARCHAR) AS reason, false AS said FROM (SELECT DISTINCT query_id FROM seq)
+    UNION ALL SELECT s.query_id, z.nr, s.total + CASE WHEN NOT list_contains(s.inside, z.chunk_id) AND s.total + z.tokens <= 4000 THEN z.tokens ELSE 0 END, CASE WHEN NOT list_contains(s.inside, z.chunk_id) AND s.total + z.tokens <= 4000 THEN list_append(s.inside, z.chunk_id) ELSE s.inside END, z.chunk_id, z.tokens,
+      CASE WHEN s.total + z.tokens <= 4000 THEN CASE WHEN z.hot THEN 'hot' ELSE 'warm' END END, CASE WHEN s.total + z.tokens <= 4000 THEN NULL WHEN z.phase = 1 THEN 'hot but exceeds budget' ELSE 'exceeds remaining budget' END, NOT list_contains(s.inside, z.chunk_id)
+      FROM steps s JOIN seq z ON z.query_id = s.query_id AND z.nr = s.nr + 1)
+    SELECT query_id, chunk_id, tokens, tier, reason, total AS running FROM steps WHERE nr > 0 AND said""",
+)
+def fill_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Budgets filled for every logged task: hot chunks (of at least 12 edge ends) first, skipped ones tried again."""
+    ranked, chunks, policies = _logged(spark, folder)
+    chosen = S.select_candidates(ranked, chunks, policies).where("selected").join(chunks.select(F.col("id").alias("chunk_id"), "tokens"), "chunk_id")
+    links = table(spark, folder, "dependencies").select(F.explode(F.array("fromId", "toId")).alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n >= 12")
+    hot = chosen.join(links.select(F.col("id").alias("chunk_id"), F.lit(True).alias("hot")), "chunk_id", "left")
+    return S.fill_budget(hot, policies.select("query_id", F.lit(4000).alias("budget"))).drop("position")
