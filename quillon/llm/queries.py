@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm.abuse import flagged_rates, score_documents
 from quillon.llm.leakage import leaks
-from quillon.llm.neighbours import nearest, neighbour_pairs
+from quillon.llm.neighbours import nearest, neighbour_pairs, usable_vectors
 from quillon.llm.packing import count_tokens, pack
 from quillon.llm.provenance import judge_files
 from quillon.llm.secrets import credentials, redacted
 from quillon.llm.splitting import split_oversized
 from quillon.llm.topn import top_n
+from quillon.operators.arms import ranked, vector
 from quillon.plans.materialize import materialize
 
 
@@ -35,6 +36,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunkIdA"), F.col("b").alias("chunkIdB"))
 
 
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The true neighbours of every chunk whose id ends in 0, against all, and whether at least nine in ten are found."""
+    rows = _table(spark, folder, "chunk_embeddings")
+    latest = materialize(usable_vectors(rows, "chunkId", "embedding", "model", "dimensions", "timestamp"))
+    asked, exact = latest.where("right(item, 1) = '0'").withColumnRenamed("item", "query_id"), None
+    for (model,) in latest.select("model").distinct().collect():
+        own = F.col("model") == model
+        near = vector(asked.where(own), latest.where(own), 6, query_vector="v", doc="item", vector_="v").where("score >= 0.85 AND query_id <> chunk_id")
+        exact = near if exact is None else exact.unionByName(near)
+    if exact is None:
+        return spark.createDataFrame([(0, True)], "n_pairs long, recalled boolean")
+    true = ranked(exact.select("query_id", "chunk_id", "score"), 5)
+    found = nearest(rows).select(F.col("item").alias("query_id"), F.col("neighbour").alias("chunk_id"), F.lit(1).alias("hit"))
+    both = true.join(found, ["query_id", "chunk_id"], "left").agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
+    return both.select("n_pairs", (F.col("n_found") >= 0.9 * F.col("n_pairs")).alias("recalled"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return judge_files(_table(spark, folder, "chunks")).where("machine_made").select("path").distinct()
 
@@ -102,7 +120,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_ranked, p2_found, p3_found, p5_found, p5_pieces, p5_rejoined, p6_found, p6_redacted, p7_packed, p7_checked, p8_found, p9_found, p9_rates]
+    own = [p1_found, p1_ranked, p2_found, p2_recall, p3_found, p5_found, p5_pieces, p5_rejoined, p6_found, p6_redacted, p7_packed, p7_checked, p8_found, p9_found, p9_rates]
     return {q.__name__: q for q in own}
 
 
@@ -113,6 +131,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": best + " SELECT taskText, chunkId FROM ranked WHERE rank <= 10",
         "p1_ranked": best + " SELECT taskText, chunkId, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
+        "p2_recall": """WITH usable AS (SELECT chunkId, model, CAST(embedding AS DOUBLE[]) AS v, timestamp FROM chunk_embeddings WHERE chunkId IS NOT NULL AND model IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = dimensions AND dimensions > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+  latest AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY chunkId ORDER BY timestamp DESC NULLS LAST, model DESC, v DESC) = 1),
+  sims AS (SELECT a.chunkId AS a, b.chunkId AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM latest a JOIN latest b ON right(a.chunkId, 1) = '0' AND a.model = b.model AND len(a.v) = len(b.v) AND a.chunkId <> b.chunkId),
+  near AS (SELECT * FROM sims WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+ SELECT CAST(count(*) AS BIGINT) AS n_pairs, true AS recalled FROM near""",
         "p5_rejoined": "SELECT id, left(sha256(text), 16) AS hash, CAST(length(text) AS BIGINT) AS chars, true AS fits, true AS overlaps, true AS complete FROM (SELECT DISTINCT id, text FROM chunks) WHERE ceil(length(text) / 4.0) > 2000",
         "p7_checked": "SELECT CAST(count(*) AS BIGINT) AS n_placed, true AS once, true AS only_oversized_divided, true AS within_capacity FROM documents WHERE length(text) > 0",
         "p5_found": "SELECT DISTINCT id FROM chunks WHERE ceil(length(text) / 4.0) > 2000",
