@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -130,8 +130,8 @@ DIGITS = str.maketrans("013457!@$€", "oieastiase")
 _ZERO_WIDTH = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _APART = re.compile(r"(?<![\w'])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _LEET = re.compile(r"(?<![\w@$!€])(?=[\w@$!€]*[a-z])(?=[\w@$!€]*[0-9@$!€])[a-z0-9@$!€]{3,}(?![\w@$])")
+_MIXED = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
-_ASCII = "abcdefghijklmnopqrstuvwxyz"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _MASKED = re.compile(r"(?<![\w*])[^\W\d_]+(?:[*#]+[^\W\d_]+)+(?![\w*])|(?<![\w*])[^\W\d_]+\*{3,}(?![\w*])")
 _SENTENCE = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
@@ -260,18 +260,52 @@ def _unmask(m: re.Match) -> str:
 
 def fold(text: str) -> str:
     """Lower case without disguises: what a reader would take the letters for."""
+    return " ".join(_fold_word(w) for w in _opened(text).split(" "))
+
+
+def _opened(text: str) -> str:
+    """Lower case, in compatibility forms, without invisible signs, and with letters set apart put together."""
     if not text.isascii():
         text = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text))
     low = text.lower()
-    if not low.isascii():
-        low = low.replace("’", "'")
-        # words that mix scripts are Latin in disguise; purely foreign ones are left alone
-        low = re.sub(r"[^\W\d_]+", lambda m: m[0].translate(HOMOGLYPHS) if not m[0].isascii() and (re.search(r"[a-z]", m[0]) or m[0].translate(HOMOGLYPHS) in _single()) else m[0], low)
-    low = _APART.sub(_join, low)
-    low = _LEET.sub(_unleet, low)
-    if "*" in low or "#" in low:
-        low = _MASKED.sub(_unmask, low)
-    return _DRAWN_WORD.sub(_undraw, low) if any(c * 3 in low for c in (_ASCII if low.isascii() else {*low})) else low
+    return _APART.sub(_join, low if low.isascii() else _MIXED.sub(_latin, low.replace("’", "'")))
+
+
+def _latin(m: re.Match) -> str:
+    """Words that mix scripts are Latin in disguise; purely foreign ones are left alone."""
+    word = m[0]
+    if word.isascii():
+        return word
+    plain = word.translate(HOMOGLYPHS)
+    return plain if re.search(r"[a-z]", word) or plain in _single() else word
+
+
+def _fold_word(word: str) -> str:
+    if not word.isalpha():
+        word = _LEET.sub(_unleet, word)
+        if "*" in word or "#" in word:
+            word = _MASKED.sub(_unmask, word)
+    return _DRAWN_WORD.sub(_undraw, word) if _DRAWN.search(word) else word
+
+
+def _said(word: str) -> str:
+    """A blank-free stretch of text as the words it says, with a new line where a sentence ends."""
+    word = _strip_marks(_fold_word(word))
+    if word.isalpha():
+        return word
+    word = _ELISION.sub(r"\1 ", word) if "'" in word else word
+    return _GAP.sub(" ", _SENTENCE.sub("\n", word).translate(_SIGNS)).replace("\n", " \n ").strip(" ")
+
+
+#: Words repeat all over a corpus, so what was made of them is kept; long stretches are no words.
+_known = lru_cache(maxsize=200_000)(_said)
+LONG_WORD = 48
+
+
+def plain_line(text: str) -> str:
+    """The folded words of a text between single blanks, sentences ended by a new line between blanks."""
+    parts = (_known(w) if len(w) <= LONG_WORD else _said(w) for w in _opened(text).replace("\n", " \n ").split(" ") if w)
+    return " " + " ".join(p for p in parts if p) + " "
 
 
 #: Classes without one of which a sentence scores nothing.
@@ -312,10 +346,7 @@ def score_text(text: str | None) -> tuple[float, str | None]:
     """The score of a text, and the category that weighs most in its worst window (null if the score is 0)."""
     if not text or not text.strip():
         return 0.0, None
-    said = _strip_marks(fold(text))
-    if "'" in said:
-        said = _ELISION.sub(r"\1 ", said)
-    line = " " + _GAP.sub(" ", _SENTENCE.sub("\n", said).translate(_SIGNS)).replace("\n", " \n ") + " "
+    line = plain_line(text)
     found = [(end + 1 - n, end, kinds) for end, (n, kinds) in _automaton().iter(line)]
     kinds = {k for *_, some in found for k in some}
     if not (kinds & TELLING or any(k in kinds and SECOND[k] & kinds for k in SECOND)):
