@@ -64,6 +64,7 @@ _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|include|define|if|endif|pragma)|/\
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\S")
 _COMMENT_START = re.compile(r"(?m)//|^[^\S\n]*#|/\*")
 _LITERAL_BODY = re.compile(r"""(?:0x[0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\s,:\[\]{}()&])+""")
+_NO_DIGITS = str.maketrans("", "", "0123456789")
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
 
 #: Sums per file, added up over its chunks.
@@ -131,22 +132,34 @@ def comment_chars(text: str) -> int:
 
 
 def measure(text: str) -> dict[str, float]:
-    tokens = _TOKEN.findall(text)
-    counts = Counter(tokens)
-    n = len(tokens)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
-    idents = [(t, c) for t, c in counts.items() if t[0].isalpha() or t[0] in "_$"]
-    ident_n = sum(c for _, c in idents)
-    lines = [x for x in text.split("\n") if x.strip()]
-    numbers = sum(c for t, c in counts.items() if t[0].isdigit())
-    ident_chars = sum(len(t) * c for t, c in idents)
-    digits = sum(c.isdigit() for t in counts for c in t) and sum(sum(ch.isdigit() for ch in t) * c for t, c in counts.items() if any(ch.isdigit() for ch in t))
+    """The sums of one text that `FEATURES` are made of."""
+    counts = Counter(_TOKEN.findall(text))
+    n = idents = ident_chars = short = numbers = signs = long_chars = 0
+    logs = 0.0
+    for token, c in counts.items():
+        n += c
+        logs += c * math.log2(c)
+        size, first = len(token), token[0]
+        if first.isalpha() or first in "_$":
+            idents += c
+            ident_chars += size * c
+            if size <= 2:
+                short += c
+        elif first.isdigit():
+            numbers += c
+        elif size == 1 and not first.isalnum():
+            signs += c
+        if size == 1 and first in "_$":
+            signs += c
+        if size >= LONG_TOKEN:
+            long_chars += size * c
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
     raw = text.encode("utf-8", "surrogatepass")
     literal = max((m.end() - m.start() for m in _LITERAL_BODY.finditer(text)), default=0) if numbers * 3 > n or '"' in text else 0
     return {
-        "rows": 1, "chars": len(text), "packed": len(zlib.compress(raw, 1)) * len(text) / max(1, len(raw)), "tokens": n, "distinct": len(counts), "entropy": entropy * n, "idents": ident_n, "ident_chars": ident_chars,
-        "short_idents": sum(c for t, c in idents if len(t) <= 2), "comments": comment_chars(text), "lines": len(lines), "shapes": len({_SHAPE.sub("a", x.strip()) for x in lines}),
-        "digits": digits, "blanks": len(text) - sum(len(t) * c for t, c in counts.items()), "signs": sum(c for t, c in counts.items() if len(t) == 1 and not t.isalnum()), "numbers": numbers, "literal": literal, "long_chars": sum(len(t) * c for t, c in counts.items() if len(t) >= LONG_TOKEN),
+        "rows": 1, "chars": len(text), "packed": len(zlib.compress(raw, 1)) * len(text) / max(1, len(raw)), "tokens": n, "distinct": len(counts), "entropy": n * math.log2(n) - logs if n else 0.0, "idents": idents, "ident_chars": ident_chars,
+        "short_idents": short, "comments": comment_chars(text), "lines": len(lines), "shapes": len({_SHAPE.sub("a", x) for x in lines}),
+        "digits": len(text) - len(text.translate(_NO_DIGITS)), "blanks": len(text) - sum(map(len, text.split())), "signs": signs, "numbers": numbers, "literal": literal, "long_chars": long_chars,
     }
 
 
