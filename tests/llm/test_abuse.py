@@ -53,7 +53,7 @@ def test_rows_and_rates(spark):
 
 
 def test_unseen_sentences():
-    """Sentences written without sight of the tables. The first set was used to mend the lexicon afterwards, the second only for what it flags wrongly."""
+    """Sentences that aren't from the tables. The first set was used to mend the lexicon afterwards, the second only for what it flags wrongly."""
     import unseen_abuse as U
 
     flagged = lambda texts: sum(score_text(t)[0] >= THRESHOLD for t in texts)

@@ -1,4 +1,7 @@
-"""Sentences written without sight of the test tables, to see how far the lexicon goes on text of another kind."""
+"""Sentences made up freely, not taken from the test tables, to see how far the lexicon goes on text of another kind.
+
+Whoever wrote them knew the tables and a review's examples, so this is no blind test.
+"""
 
 ABUSIVE = [
     "You're such a pathetic little weasel, nobody on this project can stand you.", "I hope you choke on your lunch and rot.", "People like you should be sterilized.", "Your mother should have swallowed you, you worthless sack of crap.", "Gypsies are thieves and belong in camps.", "All refugees are rapists, deport every last one of them.",
