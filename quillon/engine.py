@@ -113,6 +113,8 @@ class ContextEngine:
     def _add(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows that a table gains, written once."""
         rows = materialize(rows.select(self.tables[name].columns))
+        if rows.isEmpty():
+            return rows
         self.tables[name] = self.tables[name].unionByName(rows)
         self._added[name] = self._added[name].unionByName(rows) if name in self._added else rows
         return rows
@@ -213,6 +215,8 @@ class ContextEngine:
     def delete(self, ids: DataFrame) -> None:
         """Remove chunks with all that belongs to them."""
         ids = materialize(ids.select("id").where("id IS NOT NULL").distinct())
+        if ids.isEmpty():
+            return
         gone = ids.withColumnRenamed("id", "gone")
         for held in (self.tables, self._added):
             for name in OWNERS.keys() & held.keys():
