@@ -6,6 +6,8 @@ to the corpus, but no size is assumed: joins are declared and the optimizer choo
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillon.functions import text as X
 from quillon.functions import vector as V
 from quillon.operators.index import doc_stats, postings
-from quillon.plans.materialize import materialize
+from quillon.plans.materialize import materialize, widen
 from quillon.plans.planner import bound, compound, locates
 
 # fixed values: constants of the rankings
@@ -65,13 +67,21 @@ def full_text(queries: DataFrame, docs: DataFrame, k: int = DEPTH, query_id: str
 def term_hits(terms: DataFrame, chunks: DataFrame, doc: str = "id", text: str = "text", path: str = "path") -> DataFrame:
     """chunk_id, term, in_path for every term found as a substring of a chunk's text or path.
 
-    Terms consist of name characters, so they are searched in the vocabulary, the distinct words of the corpus, and
-    words meet the chunks by equality; no text is searched for a term.
+    Terms consist of name characters, so they lie within a word. Up to `TERMS_HELD` terms are held by the tasks, which
+    look them up in each text's words; more are searched in the vocabulary, the distinct words of the corpus, and words
+    meet the chunks by equality. No text is searched for a term.
     """
+    wanted = terms.select("term").where("term <> ''").distinct()
+    held = _held(wanted)
+    if held is not None:
+        low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+        rows = widen(chunks.select(F.col(doc).alias("chunk_id"), low(text).alias("low"), low(path).alias("low_path")))
+        kind = rows.schema["chunk_id"].dataType
+        found = rows.mapInArrow(_terms_of(held), f"chunk_id {kind.simpleString()}, term string, in_path boolean")
+        return found.groupBy("chunk_id", "term").agg(F.max("in_path").alias("in_path"))
     word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"([a-z0-9_$]+)"), 1))
     laid = F.array(F.struct(word(text).alias("words"), F.lit(False).alias("in_path")), F.struct(word(path).alias("words"), F.lit(True).alias("in_path")))
     words = chunks.select(F.col(doc).alias("chunk_id"), F.explode(laid).alias("w")).select("chunk_id", "w.in_path", F.explode("w.words").alias("word"))
-    wanted = terms.select("term").where("term <> ''").distinct()
     within = substring_hits(words.select("word").distinct(), ["word"], "word", wanted, 1)
     return words.join(within, "word").groupBy("chunk_id", "term").agg(F.max("in_path").alias("in_path"))
 
@@ -184,6 +194,61 @@ def substring_hits(names: DataFrame, key: list[str], value: str, terms: DataFram
     return short.unionByName(rows.join(long.withColumnRenamed("value", "run"), "run").select(*key, "term")).distinct()
 
 
+#: Most distinct terms that are held by the tasks, and runs whose terms are remembered in one.
+TERMS_HELD, KEPT_RUNS = 250_000, 200_000
+
+
+def _held(wanted: DataFrame) -> list[str] | None:
+    """The terms, unless they are too many to be held."""
+    few = [r.term for r in wanted.limit(TERMS_HELD + 1).collect()]
+    return few if len(few) <= TERMS_HELD else None
+
+
+def run_terms(terms: list[tuple[str, bool]]) -> Callable[[str], list[tuple[int, int]]]:
+    """A function from a run of name characters to its terms, as numbers, and how often it has them.
+
+    Terms consist of name characters, so they lie within a run of them: as substrings, or if a whole word is meant
+    between its ends and its $.
+    """
+    within, whole = ({t: i for i, (t, w) in enumerate(terms) if w == kind} for kind in (False, True))
+    sizes, held = sorted({len(t) for t in within}), {}
+
+    def of(run: str) -> list[tuple[int, int]]:
+        known = held.get(run)
+        if known is not None:
+            return known
+        if len(run) > LONGEST_RUN:
+            met = [t for t in within if t in run]
+        else:
+            met = {run[i : i + n] for n in sizes for i in range(len(run) - n + 1)} & within.keys()
+        known = [*((within[t], run.count(t)) for t in met), *Counter(whole[w] for w in run.split("$") if w in whole).items()]
+        if len(run) <= LONGEST_RUN:
+            if len(held) >= KEPT_RUNS:
+                held.clear()
+            held[run] = known
+        return known
+
+    return of
+
+
+def _terms_of(terms: list[str]):
+    """A mapInArrow function over (chunk_id, low, low_path): chunk_id, term, in_path for every term in either."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, runs, names = run_terms([(t, False) for t in terms]), re.compile("[a-z0-9_$]+").findall, pa.array(terms, pa.string())
+        for batch in batches:
+            at, nrs, named = [], [], []
+            for j, (low, path) in enumerate(zip(batch.column("low"), batch.column("low_path").to_pylist())):
+                in_path = {i for r in set(runs(path)) for i, _ in of(r)}
+                every = in_path | {i for r in set(runs(low.as_py())) for i, _ in of(r)}
+                at += [j] * len(every)
+                nrs += every
+                named += [i in in_path for i in every]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), names.take(pa.array(nrs, pa.int64())), pa.array(named, pa.bool_())], ["chunk_id", "term", "in_path"])
+
+    return run
+
+
 #: Characters of a term that are met by equality before the rest is compared.
 PROBE = 6
 

@@ -320,3 +320,15 @@ def test_grep_rank_asks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(E, "QUERY_BLOCK", 2)
     monkeypatch.setattr(E, "CELLS", 8)
     assert len(whole) == 14 and {tuple(r) for r in E.grep_rank(rounds, files).collect()} == whole
+
+
+def test_terms_held_or_joined(spark, monkeypatch):
+    """Few terms are looked up where the texts are, and no word is shuffled; many meet the words by a join."""
+    terms = spark.createDataFrame([("store",), ("needle",), ("a$b",), ("ts",), ("",), ("zzz",)], "term string")
+    chunks = spark.createDataFrame([("1", "Store it in the userstore", "src/Needles.ts"), ("1", None, "src/store"), ("2", "a$b " + "x" * 90 + "needle", None), (None, "ts", "x")], "id string, text string, path string")
+    want = {("1", "store", True), ("1", "needle", True), ("1", "ts", True), ("2", "a$b", False), ("2", "needle", False), (None, "ts", False)}
+    hits = A.term_hits(terms, chunks)
+    assert {tuple(r) for r in hits.collect()} == want
+    assert "sequence(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(A, "TERMS_HELD", 2)
+    assert {tuple(r) for r in A.term_hits(terms, chunks).collect()} == want
