@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as X
 from quillon.functions import vector as V
 from quillon.operators.arms import ranked, substring_hits
-from quillon.plans.materialize import spread
+from quillon.plans.materialize import materialize, spread
 
 # fixed values: constants of the fusion, and weights per strategy (structural, vector, fts, dependency, graph)
 RRF_K = 60
@@ -112,11 +112,8 @@ def rerank(ranked_: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5
     return out.withColumn("rank", F.row_number().over(last))
 
 
-def sparse_terms(planned: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """query_id, term, weight, origin: the weighted terms of the path for unreliable vectors, at most 40 a query.
-
-    With `stems` (see `stem_index`) up to six corpus names per term are added that share its stem.
-    """
+def weighed_terms(planned: DataFrame) -> DataFrame:
+    """query_id, pos, term, weight, origin: the terms that a query itself has."""
     s = F.col("structural")
     each = lambda a, w, origin: F.transform(a, lambda x: F.struct(X.normalize_symbol(x).alias("term"), F.lit(w).alias("weight"), F.lit(origin).alias("origin")))
     base = F.concat(s["tokens"], s["identifierParts"])
@@ -125,7 +122,19 @@ def sparse_terms(planned: DataFrame, stems: DataFrame | None = None) -> DataFram
     every = F.concat(each(base, 0.55, "query"), stems_only, each(s["identifiers"], 0.8, "identifier"), each(F.flatten(F.transform(s["identifiers"], X.split_identifier)), 0.55, "identifier"))
     rows = planned.select("query_id", F.posexplode(every).alias("pos", "t")).select("query_id", "pos", "t.*").where((F.length("term") > 1) & ~F.col("term").isin(*X.SPARSE_STOP))
     # the heaviest entry of a term counts, of equals the first
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("weight"), "pos"))).where("r = 1").drop("r")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("weight"), "pos"))).where("r = 1").drop("r")
+
+
+def sparse_terms(planned: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """query_id, term, weight, origin: the weighted terms of the path for unreliable vectors, at most 40 a query.
+
+    With `stems` (see `stem_index`) up to six corpus names per term are added that share its stem.
+    """
+    return expanded_terms(weighed_terms(planned), stems)
+
+
+def expanded_terms(best: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """The result of `sparse_terms` from that of `weighed_terms`."""
     if stems is not None:
         with_stem = best.withColumn("stem", X.stem(F.col("term"))).where(F.length("stem") >= 3).join(stems, "stem")
         related = F.slice(F.filter("terms", lambda t: t != F.col("term")), 1, SPARSE_EXPANSIONS)
@@ -138,10 +147,7 @@ def sparse_terms(planned: DataFrame, stems: DataFrame | None = None) -> DataFram
 
 def path_intent(planned: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, path_score: 5 per term in the file's name, else 8 per term in its folders, at most 12."""
-    s = F.col("structural")
-    own = F.concat(s["tokens"], s["identifierParts"], F.flatten(F.transform(s["identifiers"], X.split_identifier)))
-    asked = planned.select("query_id", F.explode(F.transform(own, X.normalize_symbol)).alias("term")).unionByName(terms.where("weight >= 0.8 AND origin = 'identifier'").select("query_id", "term"))
-    asked = asked.where((F.length("term") > 2) & ~F.col("term").isin(*X.PATH_INTENT_STOP)).distinct()
+    asked = intent_terms(planned, terms)
     base = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]+$", "")
     paths = chunks.select("path").where("path IS NOT NULL AND path <> ''").distinct()
     parts = paths.select("path", X.field_tokens(base).alias("names"), F.explode(F.array_distinct(X.field_tokens(F.col("path")))).alias("term"))
@@ -150,6 +156,14 @@ def path_intent(planned: DataFrame, chunks: DataFrame, terms: DataFrame) -> Data
     return sums.join(chunks.select(F.col("id").alias("chunk_id"), "path").distinct(), "path").select("query_id", "chunk_id", "path_score")
 
 
+def intent_terms(planned: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term: what a query says of paths."""
+    s = F.col("structural")
+    own = F.concat(s["tokens"], s["identifierParts"], F.flatten(F.transform(s["identifiers"], X.split_identifier)))
+    asked = planned.select("query_id", F.explode(F.transform(own, X.normalize_symbol)).alias("term")).unionByName(terms.where("weight >= 0.8 AND origin = 'identifier'").select("query_id", "term"))
+    return asked.where((F.length("term") > 2) & ~F.col("term").isin(*X.PATH_INTENT_STOP)).distinct()
+
+
 def sparse_fields(terms: DataFrame, chunks: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
     """query_id, chunk_id, sparse_score: per term the best field, capped by the kind of that field, at most 12 (7).
 
@@ -221,7 +235,8 @@ def deterministic_structural(planned: DataFrame, chunks: DataFrame, symbols: Dat
     Lexical scores are compressed; exact symbols and paths seed 12 and 10 plus their structural score; sparse
     fields, strong identifiers in the text and the intent of the path add theirs.
     """
-    terms = sparse_terms(planned, stems)
+    # each part reads the terms several times
+    terms = materialize(sparse_terms(planned, stems))
     strong = planned.select("query_id", F.transform("strong", X.normalize_symbol).alias("strong_norm"), F.size("structural.pathFragments").alias("n_paths"))
     named = F.exists(F.coalesce("exact_symbols", F.array().cast("array<string>")), lambda n: F.array_contains("strong_norm", X.normalize_symbol(n)))
     seeds = structural.join(strong, "query_id").select("query_id", "chunk_id", F.when(named, 12 + F.col("structural_score")).when((F.col("n_paths") > 0) & F.col("path_exact"), 10 + F.col("structural_score")).alias("points")).where("points IS NOT NULL")

@@ -9,6 +9,7 @@ from quillon.functions import text as X
 from quillon.operators import arms as A
 from quillon.operators import fuse as U
 from quillon.operators import graph as G
+from quillon.operators import held as H
 from quillon.operators import select as S
 from quillon.operators import structure as R
 from quillon.operators.index import stem_index
@@ -201,6 +202,9 @@ def structural_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("structural_without_vectors")
 def structural_without_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = H.deterministic(materialize(plan_queries(items(spark, folder), provider="deterministic")), table(spark, folder, "chunks"), TOP)
+    if found is not None:
+        return found
     planned, chunks, symbols, references = _structure(spark, folder)
     lexical = A.lexical(planned, chunks)
     structural = A.structural(planned, chunks, symbols, references)
