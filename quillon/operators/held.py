@@ -40,12 +40,12 @@ def _pattern(pattern: str) -> Callable[[str, str], str]:
     return re.compile(pattern, re.ASCII).sub
 
 
-_not_symbol, _not_identifier, _inner, _joints = _pattern(r"[^a-z0-9_$]"), _pattern(r"[^a-z0-9_$./:\-]"), _pattern(r"([a-z0-9])([A-Z])"), _pattern(r"[_$./:\-]+")
+_not_identifier, _inner, _joints = _pattern(r"[^a-z0-9_$./:\-]+"), _pattern(r"([a-z0-9])([A-Z])"), _pattern(r"[_$./:\-]+")
 _split_space, _split_fields = re.compile(r"\s+", re.ASCII).split, re.compile(r"[/. _:\-]+").split
 
 
 def normalize_symbol(name: str) -> str:
-    return _not_symbol("", name.lower())
+    return "".join(_RUNS(name.lower()))
 
 
 def normalize_identifier(name: str) -> str:
@@ -129,7 +129,11 @@ def facts(chunks: DataFrame, terms: list[str], strong: list[str], stems: list[st
     wanted_stems, sparse_stop = frozenset(stems), frozenset(X.SPARSE_STOP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, nr, types = A.run_terms([(t, False) for t in terms]), {t: i for i, t in enumerate(strong)}, None
+        found, term_nr, nr, types = finder(terms, min(map(len, terms), default=1)), {t: i for i, t in enumerate(terms)}, {t: i for i, t in enumerate(strong)}, None
+
+        @_kept
+        def of(run: str) -> list[int]:
+            return [term_nr[t] for t in found(run)]
 
         @_kept
         def related(name: str) -> list[str]:
@@ -144,15 +148,15 @@ def facts(chunks: DataFrame, terms: list[str], strong: list[str], stems: list[st
                 low = text.lower()
                 runs = _RUNS(low)
                 each = set(runs)
-                in_path = {i for r in set(_RUNS((path or "").lower())) for i, _ in of(r)}
-                hits = in_path.union(*({i for i, _ in known} for r in each if (known := of(r))))
+                in_path = {i for r in _RUNS((path or "").lower()) for i in of(r)}
+                hits = in_path.union(*(known for r in each if (known := of(r))))
                 worth = {t: 0.0 for t in each & nr.keys()}
                 if worth:
                     for points, declared in _DECLARED:
                         for name in declared(low):
                             if name in worth:
                                 worth[name] = max(worth[name], points)
-                signatures = list({(normalize_symbol(s[2] or ""), bool(s[5])) for s in symbols})
+                signatures = list({(normalize_symbol(line), shown) for line, shown in {(s[2] or "", bool(s[5])) for s in symbols}})
                 row = (
                     path, parent, [s[0] for s in symbols], [s[1] in ("interface", "type") for s in symbols], [bool(s[5]) for s in symbols], [s for s, _ in signatures], [o for _, o in signatures],
                     [r[0] for r in references], list(hits), list(in_path), [nr[t] for t in worth], [runs.count(t) for t in worth], list(worth.values()), list({t for s in symbols for t in related(s[0])}),
